@@ -130,7 +130,7 @@ def blocks(source: str) -> list[Block]:
 
 def first_pass(b: Block) -> str:
     """good, bad or empty for undecided."""
-    if b.outside or RIGHTS.search(b.text) and len(b.text) < 4 * SHORT:
+    if b.outside or not b.article and RIGHTS.search(b.text) and len(b.text) < 4 * SHORT:
         return "bad"
     if b.links > LINKS * len(b.text):
         return "bad"
