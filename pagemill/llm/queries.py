@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, html, matroska, mixing, rules, simhash, warc
+from . import bpe, bwt, classifier, html, matroska, mixing, rules, simhash, substring, warc
 from .common import table
 
 
+def op1_substring_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removals(table(spark, sf_dir, "documents"))
+
+
+def op2_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.removals(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(table(spark, sf_dir, "pages"))
 
@@ -43,7 +51,7 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_warc_index, op4_matroska, op5_simhash, op6_byte_bpe, op7_ordinal_quality, op8_mixing, op9_main_text, op10_decision_list]
+    found = [op1_substring_log, op2_bwt_merge, op3_warc_index, op4_matroska, op5_simhash, op6_byte_bpe, op7_ordinal_quality, op8_mixing, op9_main_text, op10_decision_list]
     return {f.__name__: f for f in found}
 
 
