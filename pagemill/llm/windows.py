@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, pick, shared_dir, small_batches
 
 #: Bytes of text in a shard, windows looked at together, bytes of input a hash range and a bucket.
-SHARD, BLOCK, RANGE, BUCKET = 2 << 20, 1 << 19, 2 << 20, 16 << 20
+SHARD, BLOCK, RANGE, BUCKET = 1 << 20, 1 << 18, 2 << 20, 16 << 20
 #: Stands for a null doc_id: after all others.
 NO_ID = (1 << 63) - 1
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -97,7 +97,7 @@ class Units:
         raw = np.frombuffer(body, np.uint8)
         out, k = np.empty(len(self.begin), np.uint64), 0
         while k < len(self.begin):  # by stretches, to bound memory
-            m = max(k + 1, int(np.searchsorted(self.end, self.begin[k] + (4 << 20))))
+            m = max(k + 1, int(np.searchsorted(self.end, self.begin[k] + (1 << 19))))
             low, high = int(self.begin[k]), int(self.end[m - 1])
             sums = prefix(BYTE_HASH[raw[low:high]], R_BYTE)
             out[k:m] = spans_hash(sums, self.begin[k:m] - low, self.end[k:m] - low, R_BYTE)
@@ -160,9 +160,10 @@ class Layout:
 
     def __init__(self, docs: DataFrame):
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        size = min(size, 1 << 50)
+        if size >= 1 << 60:  # not a table's size but the planner's word for unknown
+            size = int(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // 2
         self.bits = max(4, min(20, (size // RANGE).bit_length()))
-        self.buckets = max(12, size // BUCKET)
+        self.buckets = max(12, min(50_000, size // BUCKET))
 
 
 SHARDS = "shard long, ids array<long>, ends binary, body binary"
@@ -221,7 +222,7 @@ BROUGHT = "part long, shard long, body binary, lens binary, hashes binary, extra
 
 def few(spark) -> None:
     """A row holds a shard: few rows a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
 
 
 class Search:
@@ -377,7 +378,7 @@ class Contents:
         out, k = np.empty(len(a), np.uint64), np.argsort(a, kind="stable")
         i = 0
         while i < len(k):  # by stretches, to bound memory
-            j = max(i + 1, int(np.searchsorted(a[k], a[k[i]] + (1 << 20))))
+            j = max(i + 1, int(np.searchsorted(a[k], a[k[i]] + (1 << 18))))
             low, high = int(a[k[i]]), int(b[k[i:j]].max())
             out[k[i:j]] = spans_hash(prefix(units.hashes[low:high], base), a[k[i:j]] - low, b[k[i:j]] - low, base)
             i = j
