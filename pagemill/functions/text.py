@@ -105,7 +105,7 @@ def filename_fragment(c: Column, most: int = 64) -> Column:
     """Lower case, other than word characters, points and dashes as one _ each run; never empty."""
     c = sub(F.lower(strip(c)), f"[^{WORD}.-]+", "_")
     c = sub(c, r"^[._-]+|[._-]+$")
-    return F.substring(F.when(F.length(c) > 0, c).otherwise(F.lit("item")), 1, most)
+    return F.substring(F.when(F.length(c) > 0, c).when(c.isNotNull(), "item"), 1, most)
 
 
 def clean_metadata(c: Column) -> Column:

