@@ -1,6 +1,8 @@
 """Operators on small hand-made tables, and registered queries against SQL."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,9 +19,17 @@ CHECKED = [
 ]
 
 
+def plain(v):
+    if isinstance(v, (bool, np.bool_)):
+        return bool(v)
+    if pd.isna(v):
+        return None
+    return round(float(v), 5) if isinstance(v, (int, float, np.number)) else str(v)
+
+
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(repr([None if v is None or v != v else round(float(v), 5) if isinstance(v, float) else v if isinstance(v, bool) else str(v) for v in r]) for r in df.itertuples(index=False, name=None))
+    return sorted(repr([plain(v) for v in r]) for r in df.itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", CHECKED)
