@@ -85,12 +85,17 @@ def roles(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     long = F.octet_length("html") >= min_bytes
     each = p.where(long).groupBy("sum", "page_id").agg(F.count("*").alias("k"))
     same = each.groupBy(F.col("sum").alias("same")).agg(F.sum("k").alias("n"), F.max("page_id").alias("first"), F.max_by("k", F.coalesce("page_id", F.lit(-(1 << 63)))).alias("ties")).where("n > 1")
-    # pre-aggregated and only where payloads are equal; the left side may have hot sums, which AQE splits
+    # groups of equal payloads only, aggregated before they are shuffled; written, for it is asked twice
+    same = saved(same, "warc-same")
+    # the pages are shuffled once, by sum; where a sum is hot, AQE splits their side of the join
     p = p.join(same, F.col("sum") == F.col("same"), "left")
     head = F.col("same").isNotNull() & F.col("page_id").eqNullSafe(F.col("first"))
     kind = F.when(F.col("same").isNull() | head, "response").otherwise("revisit")
+    refers = F.when(kind == "revisit", F.col("first"))
+    if same.where("ties > 1").isEmpty():
+        return p.select("page_id", "url", "html", kind.alias("kind"), refers.alias("refers"))
     alone = F.coalesce(~head | (F.col("ties") == 1), F.lit(True))
-    plain = p.where(alone).select("page_id", "url", "html", kind.alias("kind"), F.when(kind == "revisit", F.col("first")).alias("refers"))
+    plain = p.where(alone).select("page_id", "url", "html", kind.alias("kind"), refers.alias("refers"))
     # repeated rows of a group's largest page_id: of these the first by URL is the response
     turn = F.row_number().over(W.partitionBy("sum", "page_id").orderBy(F.col("url").asc_nulls_first()))
     again = p.where(~alone).withColumn("turn", turn)
