@@ -253,7 +253,7 @@ def test_rules(spark, docs, empty):
         lines = [x for x in (t or "").split("\n") if x.encode().split()]
         failed = len(w) < 50 or 100 * len(cover) > 50 * len(w)
         want[i, len(w), sum(len(x.decode()) for x in w), sum((t or "").count(s) for s in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover), failed] += 1
-    got = rules.decisions(docs, labels)
+    got = rules.decisions(docs, labels).cache()
     assert multiset(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == want
     assert got.where("base_failed AND kept").count() == 0 and rules.decisions(empty, labels.limit(0)).count() == 0
 
