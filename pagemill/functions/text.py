@@ -7,6 +7,7 @@ here, once. Line anchors know \\n only. All functions give null for null unless
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,6 +44,11 @@ def swap(c: Column, a: str, b: str) -> Column:
     return F.replace(c, F.lit(a), F.lit(b))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value's own expression stands once and is worked out once. Neither value nor body may hold a Python UDF."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return sub(c, f"^[{WS}]+|[{WS}]+$(?![{WS}])")
 
@@ -200,14 +206,17 @@ def repair_paragraphs(c: Column, level: str = "Medium") -> Column:
 
 def join_lines(rows: Column) -> Column:
     """Lines of a block to one text, hyphens at line ends repaired; an empty line is a space."""
-    rest = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
 
     def add(a: Column, x: Column) -> Column:
         bare = rstrip(a)
         glue = bare.endswith("-") & starts_lower(x)
         return F.when(F.length(x) == 0, F.concat(a, F.lit(" "))).when(glue, F.concat(F.substring(bare, F.lit(1), F.length(bare) - 1), x)).otherwise(F.concat(a, F.lit(" "), x))
 
-    return F.coalesce(F.aggregate(rest, F.coalesce(F.get(rows, F.lit(0)), F.lit("")), add), F.lit(""))
+    def fold(r: Column) -> Column:
+        rest = F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0)))
+        return F.coalesce(F.aggregate(rest, F.coalesce(F.get(r, F.lit(0)), F.lit("")), add), F.lit(""))
+
+    return let(rows, fold)
 
 
 def clean_garbage(c: Column) -> Column:

@@ -303,7 +303,7 @@ def table_parse(spark, sf_dir):
 
 @query("table_parse_all", None)
 def table_parse_all(spark, sf_dir):
-    t = samples.seeded(spark, sf_dir).select("doc_id", tables.parse(tables.lines_of_block(F.col("t"))).alias("p"))
+    t = tables.parse(samples.seeded(spark, sf_dir).select("doc_id", tables.lines_of_block(F.col("t")).alias("ls")), "ls", "p")
     return t.select("doc_id", "p.how", F.size("p.rows").alias("n_rows"), "p.has_header", "p.confidence", tables.table_html(F.col("p")).alias("html"))
 
 

@@ -61,7 +61,7 @@ def test_quality_strategy(spark):
 
 def test_tables(spark):
     def parsed(lines):
-        return spark.createDataFrame([(lines,)], "ls array<string>").select(tables.parse(F.col("ls")).alias("p")).first()["p"]
+        return tables.parse(spark.createDataFrame([(lines,)], "ls array<string>"), "ls", "p").first()["p"]
 
     assert parsed(["a"]) is None
     pipe = parsed(["| a | b |", "|---|---|", "| 1 | 2 |"])
