@@ -3,7 +3,8 @@
 Each stage takes what the one before kept, as written and read again, and decides for itself:
 
 1. quality classifier: fitted on the labels of the documents it is given; documents it rejects go.
-2. SimHash near-dedup: of each component the document with the smallest doc_id stays.
+2. SimHash near-dedup: of each component, of fingerprints as in op5 and of texts whose five-word shingles have a Jaccard
+   similarity of 0.8 at least (near.py), the document with the smallest doc_id stays.
 3. substring dedup: words of 35-word windows found twice go; documents left without words go.
 4. mixing: documents as often as the mix takes them, the last one of a source cut at its budget.
 5. byte-level BPE: token ids.
@@ -36,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of fingerprints linked at simhash.RADIUS bits."""
+    """One document of each component of fingerprints at simhash.RADIUS bits and of texts whose five-word shingles are similar."""
     return simhash.near_dedup(docs)
 
 

@@ -21,8 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import arrow_schema, by_row, pick, saved
+from . import near
+from .common import arrow_schema, by_row, pick, saved, small_batches
 
 RADIUS = 2
 SHINGLE = 3
@@ -231,10 +233,33 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs without those of which a document with a smaller doc_id is in the same component; of
-    repeated rows of the smallest all stay; rows without a doc_id stay where their component has no other."""
-    drop = classes(docs, radius).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["_gone"]), "left_anti")
+    """docs without near copies: of each component, linked by fingerprints within radius and by shingles (near.py), the
+    row with the smallest doc_id stays, a row without a doc_id where there is no other, and of repeated ids one row.
+
+    Rows are told apart by a key written with them, so that null and repeated doc_ids are rows like any other.
+    """
+    columns = docs.columns
+    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    at, own = columns.index("text"), "_fp long, _digest long, _bands array<long>, _shingles binary"
+    schema = StructType([*keyed.schema.fields, *(StructField(f"_{n}", t) for n, t in (("fp", LongType()), ("digest", LongType()), ("bands", ArrayType(LongType())), ("shingles", BinaryType())))])
+    small_batches(docs.sparkSession)
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [f.type for f in arrow_schema(own)]
+        for batch in found:
+            rows = [(signed(fingerprint(x)), *near.member(x)) for x in batch.column(at).to_pylist()]
+            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *(x.split()[0] for x in own.split(", "))])
+
+    marked = saved(keyed.mapInArrow(run, schema), "marked")
+    members = marked.select(F.col("_fp").alias("fp"), F.col("_digest").alias("digest"), F.col("_bands").alias("bands"), F.col("_shingles").alias("shingles"))
+    found = near.joined(members, links(members.select("fp").distinct(), radius), components)
+    # the first row of each fingerprint, then of each component
+    doc_id = F.col("doc_id") if "doc_id" in columns else F.lit(None).cast("long")
+    best = marked.groupBy("_fp").agg(F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("_row").alias("row"))).alias("best"))
+    best = best.join(found, best["_fp"] == found["node"], "left").groupBy(F.coalesce("root", "_fp")).agg(F.min("best").alias("best"))
+    stay = saved(best.select(F.col("best.row").alias("_stay")), "stay")
+    return marked.select("_row", *columns).join(stay, F.col("_row") == F.col("_stay"), "left_semi").select(*columns)
 
 
 def digests(docs: DataFrame) -> DataFrame:

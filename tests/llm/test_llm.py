@@ -321,3 +321,39 @@ def test_pipeline(spark, sf_dir):
     e = bpe.Codec()
     texts = collections.Counter((r["doc_id"], r["text"]) for r in docs.collect())
     assert collections.Counter((r["doc_id"], e.decode(r["ids"]).decode()) for r in out.collect()) == texts
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in (words((t or "").lower()) for t in (a, b)))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_dedup_takes_near_copies(spark):
+    rnd = np.random.default_rng(11)
+    base = [f"w{x}" for x in rnd.integers(0, 5000, 300)]
+    texts = [" ".join(base)]
+    for n in (1, 3, 4, 5):  # five-word similarity falls with each word that differs
+        w = list(base)
+        for k in range(n):
+            w[20 + 60 * k] = f"new{n}{k}"
+        texts.append(" ".join(w))
+    far = list(base)
+    for k in range(0, 300, 12):
+        far[k] = f"far{k}"
+    other = [" ".join(f"w{x}" for x in rnd.integers(0, 5000, 300)) for _ in range(40)]
+    assert all(jaccard(texts[0], t) >= 0.8 for t in texts) and jaccard(texts[0], " ".join(far)) < 0.8
+    assert any((simhash.fingerprint(texts[0]) ^ simhash.fingerprint(t)).bit_count() > 2 for t in texts)
+    df = spark.createDataFrame(list(enumerate([*texts, " ".join(far), *other])), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(df).collect()) == [0, *range(len(texts), len(texts) + 41)]
+
+
+def test_near_dedup_takes_a_large_group(spark):
+    rnd = np.random.default_rng(12)
+    base = [f"w{x}" for x in rnd.integers(0, 5000, 200)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        for k in range(3):
+            w[int(rnd.integers(0, 200))] = f"new{i}{k}"
+        rows.append((i, " ".join(w)))
+    assert [r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()] == [0]
