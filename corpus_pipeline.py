@@ -9,8 +9,8 @@ Each stage takes what the one before kept, as written and read again, and decide
 4. mixing: documents as often as the mix takes them, the last one of a source cut at its budget.
 5. byte-level BPE: token ids.
 
-Rows without a doc_id go in the first stage, and of rows with one doc_id the one of least text stays,
-so that doc_id names a document from there on. All stages but the last return the columns of documents.
+A doc_id may be null or repeated: stages 2 and 3 tell rows apart by a key that they write with them, and a
+row goes for its text only. All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagemill.llm import bpe, classifier, mixing, simhash, substring
 from pagemill.llm.common import saved, table
@@ -27,13 +26,7 @@ from pagemill.llm.common import saved, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the highest grade is classifier.KEEP at least."""
     model = classifier.train(docs, table(spark, sf_dir, "labels"))
-    kept = classifier.accepted(docs, model).where("doc_id IS NOT NULL")
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_doc"))
-    # as a rule no doc_id is repeated; the rest pass by
-    again = kept.join(twice, kept["doc_id"] == twice["_doc"], "left_semi")
-    order = [F.xxhash64("text"), *[F.col(c) for c in docs.columns if c != "doc_id"]]
-    one = again.groupBy("doc_id").agg(F.min(F.struct(order[0].alias("_h"), *order[1:])).alias("_r")).select(*[F.col("doc_id") if c == "doc_id" else F.col("_r")[c].alias(c) for c in docs.columns])
-    return kept.join(twice, kept["doc_id"] == twice["_doc"], "left_anti").unionByName(one)
+    return classifier.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -357,3 +357,12 @@ def test_near_dedup_takes_a_large_group(spark):
             w[int(rnd.integers(0, 200))] = f"new{i}{k}"
         rows.append((i, " ".join(w)))
     assert [r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()] == [0]
+
+
+def test_quality_stage_keeps_rows_by_text(spark, monkeypatch):
+    import corpus_pipeline as c
+
+    rows = [(None, "a b"), (None, "c d"), (1, "e f"), (1, "g h"), (2, "i j")]
+    monkeypatch.setattr(c, "table", lambda *_: spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    out = c.quality(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(2), "")
+    assert multiset(out, "doc_id", "text") == collections.Counter(rows)
