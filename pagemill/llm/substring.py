@@ -222,8 +222,11 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with each text that lost words replaced by its kept words, n_chars following; texts that lost
-    none stay as they are, and documents that lost all words go. Needs a doc_id in every row, none twice."""
-    found = kept_words(search(docs), with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_doc"), F.col("kept").alias("_kept"))
-    out = docs.join(found, docs["doc_id"] == found["_doc"], "left").where("_kept IS NULL OR _kept <> ''")
-    changed = {"text": F.coalesce("_kept", "text"), "n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col(c) for c in docs.columns])
+    none stay as they are, and documents that lost all words go. Rows are told apart by a key written with
+    them, so a doc_id may be null or repeated."""
+    columns = docs.columns
+    keyed = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = kept_words(search(keyed.withColumn("doc_id", F.col("_row"))), with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_doc"), F.col("kept").alias("_kept"))
+    out = keyed.join(found, keyed["_row"] == found["_doc"], "left").where("_kept IS NULL OR _kept <> ''")
+    changed = {"text": F.coalesce("_kept", "text"), "n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in columns else None}
+    return out.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col(c) for c in columns])

@@ -366,3 +366,19 @@ def test_quality_stage_keeps_rows_by_text(spark, monkeypatch):
     monkeypatch.setattr(c, "table", lambda *_: spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     out = c.quality(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(2), "")
     assert multiset(out, "doc_id", "text") == collections.Counter(rows)
+
+
+def test_near_dedup_drops_rows_not_ids(spark):
+    rnd = np.random.default_rng(13)
+    a, b, c, d, e = (" ".join(f"w{x}" for x in rnd.integers(0, 5000, 60)) for _ in range(5))
+    rows = [(5, a), (None, a), (None, b), (None, c), (7, d), (8, e), (8, d)]
+    out = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert multiset(out, "doc_id", "text") == collections.Counter([(5, a), (None, b), (None, c), (7, d), (8, e)])
+
+
+def test_deduplicated_by_row(spark):
+    rnd = np.random.default_rng(14)
+    a, b, c, d, passage = (" ".join(f"{k}{x}" for x in rnd.integers(0, 5000, 60)) for k in "abcdp")
+    rows = [(None, f"{a} {passage}"), (None, b), (3, f"{c} {passage}"), (3, d), (4, passage)]
+    out = substring.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert multiset(out, "doc_id", "text") == collections.Counter([(None, a), (None, b), (3, c), (3, d)])
