@@ -30,8 +30,12 @@ OUTSIDE = frozenset("head nav header footer aside form menu button select dialog
 ARTICLE = frozenset("article main".split())
 #: Words in class, id and role that name parts which are not the article's.
 NAMES = re.compile(r"(?:^|[\s_\-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|contentinfo|cookies?|copyright|disqus|footer|gdpr|header|login|masthead|menu|modal|nav\w*|newsletter|notice|pagination|paywall|popup|promo\w*|recommend\w*|related|respond|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget|complementary)(?:$|[\s_\-])", re.I)
-LABELS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+#: Of these, parts that hold articles of their own, such as a reader's comment or a card.
+LISTS = re.compile(r"(?:^|[\s_\-])(?:ads?|advert\w*|comments?|disqus|footer|nav\w*|promo\w*|recommend\w*|related|respond|sidebar|sponsor\w*)(?:$|[\s_\-])", re.I)
+#: Classes that tell of a wrapper's state or layout, or are a framework's, name no part.
+STATE = re.compile(r"(?:^|[_\-])(?:has|have|with|without|no|not|is)[_\-]|^(?:elementor|e-con|wp-block|wpb|vc|et_pb|fl|uk|js|ast|ct)[_\-]", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|<[!?/][^>]*>|<[a-z/!][^>]*\Z""",
     re.I | re.S,
@@ -48,6 +52,24 @@ STOP = frozenset(
 )
 
 
+def attributes(source: str) -> dict[str, str]:
+    """Attributes by name in lower case; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(source):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def hidden(attrs: dict[str, str]) -> bool:
+    return attrs.get("hidden", "false").lower() != "false" or attrs.get("aria-hidden", "").strip().lower() == "true" or bool(HIDDEN.search(attrs.get("style", "")))
+
+
+def labels(attrs: dict[str, str]) -> str:
+    """What names an element: classes and ids that tell of no state, role and aria-label."""
+    named = [x for k in ("class", "id") for x in attrs.get(k, "").split() if not STATE.search(x)]
+    return " ".join([*named, *(attrs[k] for k in ("role", "aria-label") if k in attrs)])
+
+
 @dataclass
 class Block:
     text: str
@@ -62,19 +84,24 @@ class Block:
 def blocks(source: str) -> list[Block]:
     """Blocks of a page in order, white space folded, character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, outside, section of the article or 0
+    # open elements: name, outside, section of the article or 0, numbers of those around it that NAMES sets aside
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []
+    lists: list[bool] = []  # of each that NAMES sets aside: whether it is one of LISTS
+    held: list[tuple[int, ...]] = []  # what is around each article
+    marks: list[tuple[int, ...]] = []  # what is around each block
     parts: list[str] = []
     links, anchors, sections, heading = 0, 0, 0, False
 
-    def state() -> tuple[bool, int]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+    def state() -> tuple[bool, int, tuple[int, ...]]:
+        return stack[-1][1:] if stack else (False, 0, ())
 
     def close() -> None:
         nonlocal parts, links
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                outside, section = state()
+                outside, section, around = state()
+                marks.append(around)
                 out.append(Block(text, outside, section, section > 0, links, heading))
         parts, links = [], 0
 
@@ -113,18 +140,29 @@ def blocks(source: str) -> list[Block]:
                 stack = [x for x in stack if x[0] == "html"]
             if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
                 stack.pop()
-            outside, section = state()
-            if name in ARTICLE and not section:
-                sections += 1
-                section = sections
-            named = "".join(f" {a or b or c} " for a, b, c in LABELS.findall(attrs)) if attrs and name not in ("html", "body", "article", "main") else ""
-            outside = outside or name in OUTSIDE or bool(named and NAMES.search(named)) or bool(attrs and HIDDEN.search(attrs))
-            if name in BLOCKS or outside or name in ARTICLE:
-                stack.append((name, outside, section))
+            outside, section, around = state()
+            if name in ARTICLE:
+                held.append(around)
+                if not section:
+                    sections += 1
+                    section = sections
+            has = attributes(attrs) if attrs else {}
+            named = labels(has) if has and name not in ("html", "body", "article", "main") else ""
+            outside = outside or name in OUTSIDE or hidden(has)
+            aside = bool(named and NAMES.search(named))
+            if aside:
+                around = (*around, len(lists))
+                lists.append(bool(LISTS.search(named)))
+            if name in BLOCKS or outside or around or name in ARTICLE:
+                stack.append((name, outside, section, around))
         heading = name[:1] == "h" and name[1:].isdigit() and not ending if name in BLOCKS else heading
     if at < len(source):
         add(source[at:])
     close()
+    # a name says nothing where the article is inside; lists of articles stay aside if another is outside
+    void = {k for x in held for k in x if not lists[k]} | set(min(held, key=len, default=()))
+    for b, around in zip(out, marks):
+        b.outside = b.outside or not void.issuperset(around)
     return out
 
 

@@ -382,3 +382,20 @@ def test_deduplicated_by_row(spark):
     rows = [(None, f"{a} {passage}"), (None, b), (3, f"{c} {passage}"), (3, d), (4, passage)]
     out = substring.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert multiset(out, "doc_id", "text") == collections.Counter([(None, a), (None, b), (3, c), (3, d)])
+
+
+SAID = "It is the text of the page and it goes on for as long as it has to be seen as text by all of us."
+WRAPPED = [
+    ('<body style="overflow:hidden"><article><p>{}</article>', True), ('<div class="overflow-hidden"><article><p>{}</article></div>', True),
+    ('<div class="content has-sidebar"><p>{}</div>', True), ('<div class="elementor-widget-text-editor"><p>{}</div>', True), ('<div id="widget"><main><p>{}</main></div>', True),
+    ('<div class="widget"><div><article><p>{}</article></div></div><p hidden>{}', True), ('<article><p>{}<div id="comments"><article><p>{}</article></div></article>', True),
+    ('<div class="sidebar"><article><p>{}</article></div>', True), ('<main><p>{}</main><div class="sidebar"><article><p>{}</article></div>', True),
+    ('<article><p>{}<span class="share">a <span>b</span> c</span></article>', None),
+    ('<article style="visibility: hidden"><p>{}</article>', False), ('<article><p aria-hidden=true>{}</article>', False), ("<div class='site-footer'><p>{}</div>", False),
+]
+
+
+@pytest.mark.parametrize(("page", "kept"), WRAPPED)
+def test_wrappers_are_not_outside(page, kept):
+    got = html.main_text(page.replace("{}", SAID))
+    assert got == (SAID if kept else "") if kept is not None else got.startswith(SAID)
