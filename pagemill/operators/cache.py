@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def key(parts: dict[str, Column]) -> Column:
     """Digest of parts as JSON with sorted names, ", " and ": " between."""
     def value(c: Column) -> Column:
-        return F.to_json(F.struct(c.alias("v"))).substr(6, 1 << 20)
+        return F.substr(F.to_json(F.struct(c.alias("v"))), F.lit(6))
 
     items = [F.concat(F.lit(f'"{k}": '), F.regexp_replace(value(parts[k]), r"\}$", "")) for k in sorted(parts)]
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *items), F.lit("}")), 256)

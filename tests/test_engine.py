@@ -105,3 +105,12 @@ def test_config():
         config.parse_rules({"exclude_regions": [{"rect": [1]}]})
     with pytest.raises(FileNotFoundError):
         config.load_rules("/nowhere/rules.json")
+
+
+def test_cache_key_takes_long_parts_whole(spark):
+    from pyspark.sql import functions as F
+
+    from pagemill.operators import cache
+
+    keys = spark.range(2).select(cache.key({"text": F.concat(F.repeat(F.lit("x"), F.lit(1 << 20)), F.col("id").cast("string"))}).alias("k"))
+    assert keys.distinct().count() == 2
