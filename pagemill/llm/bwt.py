@@ -1,15 +1,19 @@
 """Suffix-array dedup: Burrows-Wheeler transforms of shards, merged by iterative interleave refinement.
 
-The contents that may hold repeated strings are found and brought together by hash range (see
-windows.py). In a range they are cut into shards. Each shard's transform is built alone. The transforms
-are merged without sorting suffixes again: the interleave starts as the shards' suffixes by their
-first symbols, and each round deals it out anew by the symbols before (the transforms' own), which
-makes it right for STEP symbols more. Where neighbours first part tells their common prefix, and
-stretches of neighbours that have not parted within the window's length are the repeated intervals.
+The contents that may hold repeated strings are found and brought together by hash range (see windows.py), every one of
+them whether or not another shard has the same. A range's contents are cut into shards. A shard's strings of `window`
+symbols are a collection of strings of one length, and its transform is built column by column from the right, as for
+collections of reads: suffixes of d symbols are in order, and the symbols before them deal them out in the order of d + 2
+symbols. Equal strings are one entry of a shard's transform from then on.
+
+Transforms are merged without sorting suffixes again: an interleave says from which shard and which place in its transform
+each entry comes. It starts as the shards one after another, and each round deals it out anew by the transforms' own
+columns, in a stable counting pass; it is right for two symbols more after each. Where neighbours first part tells their
+common prefix, and stretches of neighbours that do not part within the window's length are the repeated intervals.
 
 Defined results: null or empty text has no bytes; texts shorter than a window lose nothing; a repeated row
 has the same doc_id, so neither removes from the other; a null doc_id comes after all others; other
-columns are ignored; an empty table gives an empty table.
+columns are ignored; an empty table gives an empty table; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -22,150 +26,123 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import windows
-from .common import arrow_schema, saved
+from .common import arrow_schema, rows_of, saved
 
 WINDOW = 50
 GRAM = 24
-#: Symbols in a shard's transform, and before the symbols by which interleaves start.
-SHARD = 1 << 17
-START, STEP = 8, 4
-#: Parts contents; no byte of UTF-8.
-MARK = 0xFF
+#: Strings in a shard's transform, and in the transforms that are merged at once. A piece ends where a gram does.
+SHARD, PIECE = 1 << 15, 1 << 17
+#: Symbols behind a piece's last one, so that columns may be read past it.
+PAD = bytes(16)
+
+
+class Text:
+    """A piece's symbols: its columns of two symbols, and of eight for common prefixes, from each place on."""
+
+    def __init__(self, body: bytes):
+        raw = np.frombuffer(body + PAD, np.uint8)
+        self.pairs = raw[:-1].astype(np.uint16) << np.uint16(8) | raw[1:]
+        self.words = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,)).astype(np.uint64)
+
+    def column(self, spots: np.ndarray, at: int, last: int) -> np.ndarray:
+        """The symbols at and after it of the strings at spots; the one at the last place alone."""
+        c = self.pairs.take(spots + at)
+        return c >> np.uint16(8) if at == last else c
+
+
+def dealt(text: Text, spots: np.ndarray, depth: int) -> np.ndarray:
+    """The strings at spots in order of depth symbols: rounds of stable counting passes, the last column first."""
+    order = np.arange(len(spots))
+    for at in range((depth - 1) // 2 * 2, -1, -2):
+        c = text.column(spots, at, depth - 1)
+        order = order.take(np.argsort(c.take(order), kind="stable"))
+    return order
+
+
+def common(text: Text, spots: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefix of each string with the one before, depth at most."""
+    out = np.zeros(len(spots), np.int32)
+    left = np.arange(1, len(spots))
+    for at in range(0, depth, 8):
+        w = text.words.take(spots.take(left) + at)
+        v = text.words.take(spots.take(left - 1) + at)
+        x = w ^ v
+        parted = x != 0
+        y = x[parted]
+        out[left[parted]] += sum((y < np.uint64(1 << 8 * k)).astype(np.int32) for k in range(1, 8))
+        left = left[~parted]
+        out[left] += 8
+    return np.minimum(out, depth)
 
 
 class Transform:
-    """One shard: its suffixes in order (as rotations, by their first depth symbols at least)."""
-
-    def __init__(self, symbols: np.ndarray, depth: int):
-        n = len(symbols)
-        self.symbols = symbols
-        key = tuples(symbols, START)
-        self.first = key
-        order = np.argsort(key, kind="stable")
-        rank, d = ranks(key, order), START
-        while d < depth and rank[order[-1]] < n - 1:
-            key = rank.astype(np.uint64) << np.uint64(32) | np.roll(rank, -d).astype(np.uint64)
-            order = np.argsort(key, kind="stable")
-            rank, d = ranks(key, order), d * 2
-        self.order = order
-        self.place = np.empty(n, np.int64)
-        self.place[order] = np.arange(n)
-
-    def before(self, steps: int) -> np.ndarray:
-        """Of each suffix in order, the place of the one that begins steps symbols before it."""
-        return self.place[(self.order - steps) % len(self.order)]
-
-
-def tuples(symbols: np.ndarray, n: int) -> np.ndarray:
-    """The n symbols (8 at most) from each place on, around the end, as numbers in the symbols' order."""
-    out = np.zeros(len(symbols), np.uint64)
-    wide = symbols.astype(np.uint64)
-    for k in range(n):
-        out = out << np.uint64(8) | np.roll(wide, -k)
+    """One shard: the places of its strings in order, which interval of equal strings each belongs to, and one place each."""
+
+    def __init__(self, text: Text, spots: np.ndarray, depth: int):
+        self.order = dealt(text, spots, depth)
+        spots = spots.take(self.order)
+        new = common(text, spots, depth) < depth
+        self.firsts = np.flatnonzero(new)
+        self.interval = np.cumsum(new) - 1
+        self.spots = spots[self.firsts]
+
+
+def merge(text: Text, transforms: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the transforms' entries (counted over the shards one after another), and the common prefix of each
+    with the one before, at most depth."""
+    spots = np.concatenate([t.spots for t in transforms])
+    order = dealt(text, spots, depth)
+    return order, common(text, spots.take(order), depth)
+
+
+def least(text: Text, spots: np.ndarray, owners: np.ndarray, window: int, shard: int = SHARD) -> np.ndarray:
+    """For each string its interval's least owner."""
+    if not len(spots):
+        return owners
+    cuts = [*range(0, len(spots), shard), len(spots)]
+    transforms = [Transform(text, spots[a:b], window) for a, b in zip(cuts, cuts[1:])]
+    low = np.concatenate([np.minimum.reduceat(owners[a:b].take(t.order), t.firsts) for t, a, b in zip(transforms, cuts, cuts[1:])])
+    order, prefixes = merge(text, transforms, window)
+    new = prefixes < window
+    merged = np.empty(len(order), np.int64)
+    merged[order] = np.minimum.reduceat(low.take(order), np.flatnonzero(new)).take(np.cumsum(new) - 1)
+    out, at = np.empty(len(spots), np.int64), 0
+    for t, a, b in zip(transforms, cuts, cuts[1:]):
+        out[a:b][t.order] = merged[at : at + len(t.spots)].take(t.interval)
+        at += len(t.spots)
     return out
 
 
-def ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-    sorted_ = key[order]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.concatenate(([0], np.cumsum(sorted_[1:] != sorted_[:-1])))
-    return out
-
-
-def coded(transforms: list[Transform], steps: int) -> np.ndarray:
-    """The steps symbols before each suffix (shards one after another, suffixes in order), as small numbers in order."""
-    raw = np.concatenate([tuples(t.symbols, steps)[(t.order - steps) % len(t.order)] for t in transforms])
-    if steps <= 2:
-        return raw.astype(np.uint16)
-    values, inverse = np.unique(raw, return_inverse=True)
-    return inverse.astype(np.uint16 if len(values) <= 1 << 16 else np.uint32)
-
-
-def merge(transforms: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of all suffixes, right for depth symbols: for each place the suffix (counted over the shards
-    one after another, in their order), and the common prefix with the place before, at most depth.
-
-    A common prefix of less than depth is the number of symbols by which the round before had found the
-    neighbours equal (0 where they part among the first).
-    """
-    base = np.cumsum([0, *(len(t.order) for t in transforms)])
-    start = min(START, depth)
-    key = np.concatenate([t.first[t.order] for t in transforms]) >> np.uint64(8 * (START - start))
-    order = np.argsort(key, kind="stable")  # merges shards, each of which is in order
-    key = key[order]
-    parted = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-    common = np.where(parted, 0, depth).astype(np.int32)
-    rounds, left = [], depth - start
-    while left:
-        rounds.append(next(s for s in (STEP, 2, 1) if s <= left))
-        left -= rounds[-1]
-    tools = {s: (coded(transforms, s), np.concatenate([t.before(s) + b for t, b in zip(transforms, base)])) for s in dict.fromkeys(rounds)}
-    block = np.cumsum(parted)
-    for s in rounds:
-        symbols, before = tools[s]
-        c = symbols[order]
-        dealt = np.argsort(c, kind="stable")
-        c, block = c[dealt], block[dealt]
-        order = before[order[dealt]]
-        new = np.concatenate(([True], (c[1:] != c[:-1]) | (block[1:] != block[:-1])))
-        # suffixes in order of more symbols part where they have parted before, and within
-        common[new & ~parted] = start
-        parted = new
-        start += s
-        block = np.cumsum(new)
-    return order, common
-
-
-def classes(texts: list[bytes], window: int) -> np.ndarray:
-    """For each place of the texts, one after another, each with a mark after it: the number of its
-    window's interval; equal windows have equal numbers."""
-    body = np.frombuffer(b"".join(x + b"\xff" for x in texts), np.uint8)
-    lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    ends = np.cumsum(lens)
-    cuts = [0]
-    while cuts[-1] < len(body):  # shards end with a text
-        cuts.append(int(ends[min(len(ends) - 1, np.searchsorted(ends, cuts[-1] + SHARD))]))
-    transforms = [Transform(body[a:b], window) for a, b in zip(cuts, cuts[1:])]
-    order, common = merge(transforms, window)
-    interval = np.cumsum(common < window)
-    spot = np.concatenate([t.order + a for t, a in zip(transforms, cuts)])
-    out = np.empty(len(body), np.int64)
-    out[spot[order]] = interval
-    return out
-
-
-def resolve(window: int):
-    """Of one range: for each shard's contents a bit a window: it starts in a smaller document of another shard too."""
+def resolve(window: int, homes: windows.Homes, piece: int = PIECE, shard: int = SHARD):
+    """Of one range: for each shard's contents a bit a window: it starts in a smaller document too."""
 
     def f(part: int, rows: list[tuple]) -> Iterator[tuple]:
-        texts, lens, hashes, which, extras = windows.opened(rows)
-        least = np.full(len(texts), windows.NO_ID, np.int64)
-        for w, ids in zip(which, extras):
-            np.minimum.at(least, w, ids)
-        counts = lens - window + 1
-        at = np.concatenate(([0], np.cumsum(counts)))
-        # the least document of each window of each content
-        smallest = np.repeat(least, counts)
-        many = np.flatnonzero(windows.shared(hashes))
-        if len(many):
-            found = classes([texts[k] for k in many], window)
-            begin = np.concatenate(([0], np.cumsum(lens[many] + 1)[:-1]))
-            steps = np.arange(int(counts[many].sum())) - np.repeat(np.cumsum(counts[many]) - counts[many], counts[many])
-            cls = found[np.repeat(begin, counts[many]) + steps]
-            mine = np.repeat(at[many], counts[many]) + steps
-            low = np.full(int(found.max()) + 1, windows.NO_ID, np.int64)
-            np.minimum.at(low, cls, smallest[mine])
-            smallest[mine] = low[cls]
-        widest = int(counts.max(initial=0))
-        for (shard, *_), w, ids in zip(rows, which, extras):
-            masks = np.zeros(len(w), np.uint64)
-            for j in range(widest):
-                has = counts[w] > j
-                bit = np.zeros(len(w), bool)
-                bit[has] = smallest[at[w[has]] + j] < ids[has]
-                masks |= bit.astype(np.uint64) << np.uint64(j)
-            if masks.any():
-                yield shard, part, masks.tobytes()
+        lens, hashes, owners = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in ((2, np.int32), (3, np.uint64), (4, np.int64)))
+        ends = np.cumsum(lens, dtype=np.int64)
+        body = b"".join(r[1] for r in rows)
+        counts = lens.astype(np.int64) - window + 1
+        order = np.argsort(hashes, kind="stable")  # contents of one gram together
+        grams = windows.edges_of(hashes[order])
+        total = np.concatenate(([0], np.cumsum(counts[order])))
+        masks, k = np.zeros(len(lens), np.uint64), 0
+        while k < len(order):
+            # whole grams, of about as many windows as a piece has
+            m = int(grams[max(np.searchsorted(total[grams], total[k] + piece, side="right") - 1, np.searchsorted(grams, k, side="right"))])
+            some = order[k:m]
+            text = Text(b"".join([body[b - n : b] for b, n in zip(ends[some].tolist(), lens[some].tolist())]))
+            n = counts[some]
+            begin = np.cumsum(n) - n
+            step = np.arange(int(n.sum())) - np.repeat(begin, n)
+            mine = np.repeat(owners[some], n)
+            low = least(text, np.repeat(np.cumsum(lens[some], dtype=np.int64) - lens[some], n) + step, mine, window, shard)
+            masks[some] = np.bitwise_or.reduceat((low < mine).astype(np.uint64) << step.astype(np.uint64), begin)
+            k = m
+        at = 0
+        for row_shard, _, sizes, *_ in rows:
+            n = len(sizes) // 4
+            if masks[at : at + n].any():
+                yield homes(row_shard), row_shard, part, masks[at : at + n].tobytes()
+            at += n
 
     return f
 
@@ -173,45 +150,33 @@ def resolve(window: int):
 SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = windows.HOT, bits: int | None = None) -> DataFrame:
     """The columns of op2."""
-    s = windows.Search(docs, window, gram, words=False)
-    bits, runs_of = s.layout.bits, s.runs_of()
-
-    def matched(part: int, rows: list[tuple]) -> Iterator[tuple]:
-        for shard, blob in windows.match(rows):
-            yield shard, part, blob
-
-    windows.few(s.spark)
-    hit = saved(windows.by_part(s.marks(), ["shard", "hashes", "many"], matched, "shard long, part long, blob binary", 1 << bits), "candidates")
+    s = windows.Shards(docs, window, gram, words=False, bits=bits)
+    ranges, runs_of, contents = 1 << s.bits, s.runs_of(), s.contents_of()
+    hit = saved(windows.by_part(s.marks(), ["shard", "hashes", "prints", "counts"], windows.match(s.homes, hot), windows.ANSWERS, ranges), "candidates")
 
-    def numbers(c: windows.Contents, ids: list) -> np.ndarray:
+    def owners(c: windows.Contents, ids: list) -> np.ndarray:
         doc = np.array([windows.NO_ID if x is None else x for x in ids], np.int64)
         low = np.full(len(c.heads), windows.NO_ID, np.int64)
         np.minimum.at(low, c.which, doc[c.doc])
         return low
 
-    masks = windows.by_part(s.bring(hit, numbers), ["shard", "body", "lens", "hashes", "extra"], resolve(window), "shard long, part long, blob binary", 1 << bits)
+    masks = windows.by_part(s.bring(hit, owners), ["shard", "body", "lens", "hashes", "extra"], resolve(window, s.homes), windows.ANSWERS, ranges)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(SPANS)
         for batch in found:
-            for ids, ends, body, p0, b0, p1, b1 in zip(*(c.to_pylist() for c in batch.columns)):
+            for ids, ends, body, p0, b0, p1, b1 in rows_of(batch):
                 gone = np.zeros(len(body), bool)
                 if p0:
-                    units, first, count, h = runs_of(ends, body)
-                    c = windows.Contents(units, first, count, h, windows.hits(h, bits, p0, b0), window, bits)
-                    answer, mask = dict(zip(p1 or [], b1 or [])), np.zeros(len(c.heads), np.uint64)
-                    for p, k, m in c.ranges():
-                        if p in answer:
-                            mask[k:m] = np.frombuffer(answer[p], np.uint64)
+                    c = contents(*runs_of(ends, body), p0, b0)
                     doc = np.array([windows.NO_ID if x is None else x for x in ids], np.int64)[c.doc]
                     # a content that a smaller document of this shard has too is found there as a whole
-                    whole = doc > numbers(c, ids)[c.which]
-                    gone = windows.covered(len(body), windows.flagged(c.first, c.count, np.where(whole, ~np.uint64(0), mask[c.which])), window)
+                    whole = doc > owners(c, ids)[c.which]
+                    gone = windows.covered(len(body), windows.flagged(c.first, c.count, np.where(whole, ~np.uint64(0), c.masked(p1, b1)[c.which])), window)
                 yield spans(schema, ids, np.frombuffer(ends, np.int64), body, gone)
 
-    windows.few(s.spark)
     return s.with_answers(hit, masks).select("ids", "ends", "body", "parts0", "blobs0", "parts1", "blobs1").mapInArrow(run, SPANS)
 
 

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: Output rows per Arrow batch.
 OUT_ROWS = 2000
-#: Input rows per Arrow batch; texts may be very long, so few.
-IN_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +41,6 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, since a row may hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(IN_ROWS))
-
-
 def saved(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -67,6 +60,12 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(name, ARROW[kind]) for name, kind in (x.split() for x in schema.split(","))])
 
 
+def rows_of(batch: pa.RecordBatch, step: int = 64) -> Iterator[tuple]:
+    """A batch's rows, some at a time: Spark bounds a batch's bytes, not what its rows weigh in Python."""
+    for k in range(0, batch.num_rows, step):
+        yield from zip(*(c.to_pylist() for c in batch.slice(k, step).columns))
+
+
 def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:
     """Tuples to Arrow batches of a bounded number of rows."""
     held: list[tuple] = []
@@ -81,7 +80,6 @@ def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = OUT_ROWS) -> I
 
 def by_row(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str, size: int = OUT_ROWS) -> DataFrame:
     """Each row of df to any number of rows. make() runs once a task and returns the function of a row's values."""
-    small_batches(df.sparkSession)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = arrow_schema(schema)
@@ -89,7 +87,7 @@ def by_row(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], sc
 
         def rows() -> Iterator[tuple]:
             for batch in found:
-                for values in zip(*(c.to_pylist() for c in batch.columns)):
+                for values in rows_of(batch):
                     yield from f(*values)
 
         yield from batches(rows(), kind, size)
@@ -115,7 +113,6 @@ def require(names: Sequence[str], df: DataFrame) -> None:
 
 def batches_where(df: DataFrame, at: int, make: Callable[[], Callable[..., bool]]) -> DataFrame:
     """Rows of df of whose column at the function made once a task holds; all columns as they are."""
-    small_batches(df.sparkSession)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holds = make()

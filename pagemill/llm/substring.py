@@ -2,20 +2,22 @@
 
 Each batch of documents gives the hashes of its windows' runs (see windows.py). They are written as a
 sorted immutable run, dealt out and ordered by hash range. Appending a batch merge-joins its run with
-the compacted history of its range: both are in order, so a merge finds the hashes that are new and
-those that repeat. Compaction merges runs into one history with counts; a run is never changed.
-Hashes that repeat are candidates only: the contents they stand for are brought together by range
-and compared word for word before anything is removed.
+the compacted history of its range, which tells the hashes that repeat and the shards that have them, old
+and new. These are candidates only: the contents they stand for are brought together by range and
+compared word for word, and what has been verified is kept with the log. Compaction merges runs into one
+history, before the next batch is appended; a run is never changed. A log may be kept and appended to later: the
+tables it is made of are its state().
 
 Defined results: null or empty text has no words; texts shorter than a window lose nothing; a repeated
 row is another document, so its windows repeat; null doc_id is kept; other columns are ignored by
-removals() and kept by deduplicated(); an empty table gives an empty table.
+removals() and kept by deduplicated(); an empty table gives an empty table; texts may be of any length.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,164 +25,194 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import windows
-from .common import arrow_schema, saved
+from .common import arrow_schema, rows_of, saved
 
 WINDOW = 35
 GRAM = 12
 #: Batches in which a table is appended.
 BATCHES = 2
-HISTORY = "part long, hashes binary, counts binary"
+#: Entries of one hash range, in order of hash and shard: hash, shard, print of its contents, their number.
+HISTORY = "part long, hashes binary, shards binary, prints binary, counts binary"
 
 
-def merged(sides: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes with counts, merged; counts stop at 2, which is all that is asked of them."""
-    h = np.concatenate([x for x, _ in sides])
-    n = np.concatenate([y for _, y in sides])
-    order = np.argsort(h, kind="stable")  # stretches in order: a merge
-    h, n = h[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    return h[first], np.minimum(np.add.reduceat(n.astype(np.int64), first), 2).astype(np.uint8) if len(h) else n
+class Entries:
+    """Entries of one range, of a history row and of marks of shards, merged: in order of hash, then shard."""
 
+    def __init__(self, rows: list[tuple]):
+        kinds = (np.int64, np.uint16, np.uint8)
+        each = [windows.untrimmed(r[1]) for r in rows]
+        owners = [np.frombuffer(r[4], np.int64) if r[0] < 0 else np.full(len(h), r[0], np.int64) for r, h in zip(rows, each)]
+        self.fresh = np.concatenate([np.full(len(h), r[0] >= 0) for r, h in zip(rows, each)])
+        self.hash, self.shard = np.concatenate(each), np.concatenate(owners)
+        self.prints, self.counts = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in zip((2, 3), kinds[1:]))
+        order = np.lexsort((self.shard, self.hash))
+        self.fresh, self.hash, self.shard, self.prints, self.counts = (x[order] for x in (self.fresh, self.hash, self.shard, self.prints, self.counts))
+
+    def packed(self) -> tuple[bytes, bytes, bytes, bytes]:
+        t = self.hash
+        raw = (t >> np.uint64(8)).astype(np.uint32).tobytes() + (t & np.uint64(255)).astype(np.uint8).tobytes()
+        return raw, self.shard.tobytes(), self.prints.tobytes(), self.counts.tobytes()
 
-class FingerprintLog:
-    """Sorted immutable runs of window hashes, with a compacted history."""
 
-    def __init__(self, spark: SparkSession, bits: int, history: DataFrame | None = None):
-        self.spark, self.bits, self.history = spark, bits, history
-        self.runs: list[DataFrame] = []
-        self.fresh: list[DataFrame] = []
+def joined(homes: dict[int, windows.Homes], hot: int):
+    """Of one range: history and fresh marks to answers for each shard that has a fresh hash which repeats."""
 
-    def append(self, marks: DataFrame) -> DataFrame:
-        """Write a batch's marks as a run, in order of range and shard."""
-        tasks = max(4, min(1 << self.bits, 4096))
-        run = saved(marks.repartition(tasks, "part").sortWithinPartitions("part", "shard"), "fingerprint-run")
-        self.runs.append(run)
-        self.fresh.append(run)
-        return run
+    def f(part: int, rows: list[tuple]) -> Iterator[tuple]:
+        e = Entries(rows)
+        twice, is_hot = windows.repeated(e.hash, e.prints, e.counts, hot)
+        new = e.hash[e.fresh]
+        wanted = windows.among(twice, new)
+        hit = windows.among(e.hash, twice[wanted])
+        very = hit & windows.among(e.hash, twice[wanted & is_hot])
+        order = np.argsort(e.shard, kind="stable")  # each shard's entries, in order of hash
+        shards = e.shard[order]
+        for shard, s in windows.per_range(shards):
+            if (mine := hit[order[s]]).any():
+                yield homes[shard >> 56](shard), shard, part, np.packbits(mine).tobytes() + np.packbits(very[order[s]]).tobytes()
+
+    return f
+
+
+class FingerprintLog:
+    """Sorted immutable runs of window hashes with a compacted history, the shards they come from, and what was found repeated."""
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, hot: int = windows.HOT, bits: int | None = None):
+        self.spark, self.window, self.gram, self.hot, self.bits = spark, window, gram, hot, bits
+        self.history: DataFrame | None = None
+        self.run: DataFrame | None = None
+        self.batches: list[windows.Shards] = []
+        #: Of each append its candidates and the verified windows among them.
+        self.found: list[tuple[DataFrame, DataFrame]] = []
+
+    @property
+    def ranges(self) -> int:
+        return 1 << (self.bits or 0)
+
+    def append(self, docs: DataFrame) -> None:
+        """A batch's run, merge-joined with the history, its candidates verified against all shards that have them."""
+        if self.run is not None:
+            self.compact()
+        s = windows.Shards(docs, self.window, self.gram, words=True, bits=self.bits, batch=len(self.batches))
+        self.bits = s.bits
+        self.batches.append(s)
+        tasks = max(4, min(self.ranges, 1 << 16))
+        self.run = saved(s.marks().repartition(tasks, "part").sortWithinPartitions("part", "shard"), "fingerprint-run")
+        homes = {k: b.homes for k, b in enumerate(self.batches)}
+        hits = saved(windows.by_part(self._entries(), COLUMNS, joined(homes, self.hot), windows.ANSWERS, self.ranges), "candidates")
+
+        def counts(c: windows.Contents, ids: list) -> np.ndarray:
+            return np.bincount(c.which, minlength=len(c.heads)).astype(np.int64)
+
+        brought = reduce(DataFrame.unionByName, [b.bring(hits, counts) for b in self.batches])
+        masks = windows.by_part(brought, ["shard", "body", "lens", "hashes", "extra"], verify(self.window, homes), windows.ANSWERS, self.ranges)
+        self.found.append((hits, saved(masks, "verified")))
+
+    def _entries(self) -> DataFrame:
+        """Rows of history (shard -1) and of the run."""
+        rows = self.run.select("part", "shard", "hashes", "prints", "counts", F.lit(None).cast("binary").alias("shards"))
+        if self.history is None:
+            return rows
+        return rows.unionByName(self.history.select("part", F.lit(-1).cast("long").alias("shard"), "hashes", "prints", "counts", "shards"))
 
     def compact(self) -> DataFrame:
-        """Merge the runs not yet in the history with it, range by range, into a new history."""
-        rows = [r.select("part", "hashes", F.col("many").alias("bits"), F.lit(False).alias("old")) for r in self.fresh]
-        if self.history is not None:
-            rows.append(self.history.select("part", "hashes", F.col("counts").alias("bits"), F.lit(True).alias("old")))
-        every = rows[0]
-        for r in rows[1:]:
-            every = every.unionByName(r)
-
-        def merge(part: int, held: list[tuple]) -> Iterator[tuple]:
-            sides = []
-            for hashes, bits, old in held:
-                h = np.frombuffer(hashes, np.uint64)
-                n = np.frombuffer(bits, np.uint8)
-                sides.append((h, n if old else np.unpackbits(n, count=len(h)) + np.uint8(1)))
-            h, n = merged(sides)
-            yield part, h.tobytes(), n.tobytes()
-
-        windows.few(self.spark)
-        self.history = saved(windows.by_part(every, ["hashes", "bits", "old"], merge, HISTORY, 1 << self.bits), "fingerprint-history")
-        self.fresh = []
+        """Merge the run with the history, range by range, into a new history."""
+        if self.run is not None:
+
+            def merge(part: int, rows: list[tuple]) -> Iterator[tuple]:
+                yield part, *Entries(rows).packed()
+
+            self.history = saved(windows.by_part(self._entries(), COLUMNS, merge, HISTORY, self.ranges), "fingerprint-history")
+            self.run = None
         return self.history
 
-    def candidates(self, runs: list[DataFrame] | None = None) -> DataFrame:
-        """shard, part, blob: for each row of the runs, which of its hashes the history has twice."""
-        rows = [r.select("part", "shard", "hashes") for r in runs or self.runs]
-        rows.append(self.history.select("part", F.lit(-1).cast("long").alias("shard"), F.struct("hashes", "counts").alias("h")).select("part", "shard", F.concat("h.hashes", "h.counts").alias("hashes")))
-        every = rows[0]
-        for r in rows[1:]:
-            every = every.unionByName(r)
-
-        def join(part: int, held: list[tuple]) -> Iterator[tuple]:
-            raw = next((h for shard, h in held if shard == -1), b"")
-            n = len(raw) // 9
-            known, counts = np.frombuffer(raw[: 8 * n], np.uint64), np.frombuffer(raw[8 * n :], np.uint8)
-            twice = known[counts > 1]
-            for shard, hashes in held:
-                if shard != -1:
-                    h = np.frombuffer(hashes, np.uint64)
-                    at = np.searchsorted(twice, h)
-                    hit = at < len(twice)
-                    hit[hit] = twice[at[hit]] == h[hit]
-                    if hit.any():
-                        yield shard, part, np.packbits(hit).tobytes()
-
-        windows.few(self.spark)
-        return windows.by_part(every, ["shard", "hashes"], join, "shard long, part long, blob binary", 1 << self.bits)
-
-
-def verify(window: int):
+    def flags(self) -> DataFrame:
+        """Shards (ids, ends, body of words) of all batches with their documents' removed words as bits."""
+        return reduce(DataFrame.unionByName, [applied(s, self.found[k:]) for k, s in enumerate(self.batches)])
+
+
+COLUMNS = ["shard", "hashes", "prints", "counts", "shards"]
+
+
+def verify(window: int, homes: dict[int, windows.Homes]):
     """Of one range: contents word for word. Answers each shard's contents with a bit a window: found elsewhere too."""
 
     def f(part: int, rows: list[tuple]) -> Iterator[tuple]:
-        texts, _, hashes, which, extras = windows.opened(rows)
-        total = np.zeros(len(texts), np.int64)
-        for w, n in zip(which, extras):
-            np.add.at(total, w, n)
-        common = windows.shared(hashes)
+        known: dict[bytes, int] = {}
+        grams: list[int] = []
+        total: list[int] = []
+        which = []
+        for _, body, lens, h, extra in rows:
+            at, mine = 0, []
+            for n, x, many in zip(np.frombuffer(lens, np.int32).tolist(), np.frombuffer(h, np.uint64).tolist(), np.frombuffer(extra, np.int64).tolist()):
+                k = known.setdefault(body[at : at + n], len(known))
+                at += n
+                if k == len(total):
+                    grams.append(x)
+                    total.append(0)
+                total[k] += many
+                mine.append(k)
+            which.append(np.array(mine, np.int64))
+        texts = list(known)
+        h = np.array(grams, np.uint64)
+        order = np.argsort(h, kind="stable")
+        edge = windows.edges_of(h[order])
         masks = np.zeros(len(texts), np.uint64)
-        found: dict[bytes, int] = {}
-        of: dict[int, list[bytes]] = {}
-        for k in range(len(texts)):
-            words = texts[k].count(b" ") + 1
-            if not common[k]:
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if b - a == 1:
                 # the only content of its gram: its windows are found wherever it is
-                masks[k] = (1 << words - window + 1) - 1 if total[k] > 1 else 0
+                k = int(order[a])
+                masks[k] = (1 << texts[k].count(b" ") + 2 - window) - 1 if total[k] > 1 else 0
                 continue
-            ends = [i for i, c in enumerate(texts[k]) if c == 32]
-            begin, end = [0, *(e + 1 for e in ends)], [*ends, len(texts[k])]
-            of[k] = [texts[k][begin[j] : end[j + window - 1]] for j in range(words - window + 1)]
-            n = int(total[k])
-            for x in of[k]:
-                found[x] = found.get(x, 0) + n
-        for k, mine in of.items():
-            masks[k] = sum(1 << j for j, x in enumerate(mine) if found[x] > 1)
+            found: dict[bytes, int] = {}
+            of = {}
+            for k in order[a:b].tolist():
+                t, n = texts[k], total[k]
+                ends = np.append(np.flatnonzero(np.frombuffer(t, np.uint8) == 32), len(t))
+                begin = np.concatenate(([0], ends[:-1] + 1))
+                of[k] = [t[i:j] for i, j in zip(begin[: len(ends) - window + 1].tolist(), ends[window - 1 :].tolist())]
+                for x in of[k]:
+                    found[x] = found.get(x, 0) + n
+            for k, mine in of.items():
+                masks[k] = sum(1 << j for j, x in enumerate(mine) if found[x] > 1)
         for (shard, *_), w in zip(rows, which):
             if (m := masks[w]).any():
-                yield shard, part, m.tobytes()
+                yield homes[shard >> 56](shard), shard, part, m.tobytes()
 
     return f
 
 
-def search(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """Shards (ids, ends, body of words) with their documents' removed words as bits, one row a shard."""
-    s = windows.Search(docs, window, gram, words=True)
-    log = FingerprintLog(s.spark, s.layout.bits)
+def search(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, hot: int = windows.HOT, bits: int | None = None) -> DataFrame:
+    """flags() of a log to which the table is appended in batches, dealt out by hash of the text."""
+    log = FingerprintLog(docs.sparkSession, window, gram, hot, bits or windows.Layout(docs).bits)
+    turn = F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(batches))
     for k in range(batches):
-        log.append(s.marks(s.shards.where(F.pmod(F.xxhash64("shard"), F.lit(batches)) == k)))
-        log.compact()
-    bits = saved(log.candidates(), "candidates")
-
-    def counts(c: windows.Contents, ids: list) -> np.ndarray:
-        return np.bincount(c.which, minlength=len(c.heads)).astype(np.int64)
-
-    brought = s.bring(bits, counts)
-    windows.few(s.spark)
-    masks = windows.by_part(brought, ["shard", "body", "lens", "hashes", "extra"], verify(window), "shard long, part long, blob binary", 1 << s.layout.bits)
-    return applied(s, bits, masks)
+        log.append(docs.where(turn == k))
+    return log.flags()
 
 
 FLAGS = "ids array<long>, ends binary, body binary, removed binary"
 
 
-def applied(s: windows.Search, bits_of: DataFrame, masks: DataFrame) -> DataFrame:
-    bits, runs_of, window = s.layout.bits, s.runs_of(), s.window
+def applied(s: windows.Shards, found: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """A batch's shards with what its own append and the later ones found in them."""
+    runs_of, contents, window, n = s.runs_of(), s.contents_of(), s.window, len(found)
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(FLAGS)
-        for batch in found:
-            for ids, ends, body, p0, b0, p1, b1 in zip(*(c.to_pylist() for c in batch.columns)):
-                gone = np.zeros(0, bool)
-                if p1:
-                    units, first, count, h = runs_of(ends, body)
-                    c = windows.Contents(units, first, count, h, windows.hits(h, bits, p0, b0), window, bits)
-                    answer, mask = dict(zip(p1, b1)), np.zeros(len(c.heads), np.uint64)
-                    for p, k, m in c.ranges():
-                        if p in answer:
-                            mask[k:m] = np.frombuffer(answer[p], np.uint64)
-                    gone = windows.covered(len(units.hashes), windows.flagged(c.first, c.count, mask[c.which]), window)
+        for batch in got:
+            for ids, ends, body, *answers in rows_of(batch):
+                gone, units = np.zeros(0, bool), None
+                for p0, b0, p1, b1 in (answers[4 * k : 4 * k + 4] for k in range(n)):
+                    if p1:
+                        if units is None:
+                            units, marks = runs_of(ends, body)
+                            gone = np.zeros(len(units), bool)
+                        c = contents(units, marks, p0, b0)
+                        gone |= windows.covered(len(units), windows.flagged(c.first, c.count, c.masked(p1, b1)[c.which]), window)
                 yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((ids, ends, body, np.packbits(gone).tobytes()), schema)], schema=schema)
 
-    windows.few(s.spark)
-    return s.with_answers(bits_of, masks).select("ids", "ends", "body", "parts0", "blobs0", "parts1", "blobs1").mapInArrow(run, FLAGS)
+    columns = [f"{c}{k}" for k in range(2 * n) for c in ("parts", "blobs")]
+    return s.with_answers(*(x for pair in found for x in pair)).select("ids", "ends", "body", *columns).mapInArrow(run, FLAGS)
 
 
 def kept_words(flags: DataFrame, with_text: bool) -> DataFrame:
@@ -190,7 +222,7 @@ def kept_words(flags: DataFrame, with_text: bool) -> DataFrame:
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = arrow_schema(schema)
         for batch in found:
-            for ids, ends, body, removed in zip(*(c.to_pylist() for c in batch.columns)):
+            for ids, ends, body, removed in rows_of(batch):
                 ends = np.frombuffer(ends, np.int64)
                 begin, end = windows.words_of(body)
                 edges = np.concatenate(([0], np.searchsorted(begin, ends)))
@@ -211,7 +243,6 @@ def kept_words(flags: DataFrame, with_text: bool) -> DataFrame:
                     at = stop
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), kind)], schema=kind)
 
-    windows.few(flags.sparkSession)
     return flags.mapInArrow(run, schema)
 
 

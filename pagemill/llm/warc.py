@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batches, fresh_dir, pick, saved, small_batches
+from .common import arrow_schema, batches, fresh_dir, pick, saved
 
 MIN_BYTES = 0
 #: Bytes between two ranges that are read through, and bytes in one read.
@@ -111,7 +111,6 @@ def write(pages: DataFrame, to: str | None = None, min_bytes: int = MIN_BYTES) -
     """Write the archives; the index of their records, itself a table in the shared folder."""
     spark = pages.sparkSession
     to = to or fresh_dir(spark, "warc")
-    small_batches(spark)
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = place(to)
@@ -195,7 +194,6 @@ def read(index: DataFrame, with_payload: bool = True) -> DataFrame:
 
         yield from batches(rows(), arrow_schema(READ_ROWS), 200 if with_payload else 2000)
 
-    small_batches(index.sparkSession)
     # ranges of one archive's stretch go to one task, in order; sorted ranges split large archives
     dealt = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, READ_ROWS)
