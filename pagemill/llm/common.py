@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +37,35 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
+#: Lists that fresh_dir() enters its paths in while scratch() is on.
+_recorders: list[list[str]] = []
+
+
 def fresh_dir(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    for held in _recorders:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Collects the paths of tables written meanwhile, for discard() when nothing reads them any more."""
+    held: list[str] = []
+    _recorders.append(held)
+    try:
+        yield held
+    finally:
+        _recorders.remove(held)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of the shared folder, in whatever store it is."""
+    sc = spark.sparkContext
+    for path in paths:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
