@@ -1,16 +1,19 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text is cut into chunks that overlap. Each chunk is pre-tokenised on its own, from its first
+Every text is cut into chunks that overlap. Each chunk is pre-tokenised on its own, from its first
 character, so chunks need not wait for each other. Two neighbours' pre-token boundaries are then
 compared within their overlap: at the first boundary both have, the pre-tokeniser has no memory
 left of where it began, so all later boundaries of the right chunk are the text's own. The text is
-cut there, and the pieces are encoded on their own. Where an overlap holds no common boundary (one
+cut there, and each piece's pre-tokens are encoded. Where an overlap holds no common boundary (one
 pre-token longer than the overlap), the left chunk is extended by its neighbour.
 
+Chunks of one text run one after another in a task, but for texts of more than LONG characters: theirs are dealt
+out over the cluster (spread()), by the same steps.
+
 Decoding concatenates the ids' raw bytes.
 
 Defined results: null text is the empty text (no ids); repeated rows each give a row; a null
-doc_id is kept; other columns are ignored; an empty table gives an empty table.
+doc_id is kept; other columns are ignored; an empty table gives an empty table; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -18,17 +21,21 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import by_row, pick
 
 #: Characters in a chunk, and in the overlap of two.
-CHUNK, OVERLAP = 65_536, 1_024
-#: Texts above this many characters are pre-tokenised by chunks in tasks of their own.
-LONG = 1 << 20
+CHUNK, OVERLAP = 2_048, 128
+#: Texts above this many characters have their chunks, of so many characters, dealt out over the cluster.
+LONG, LONG_CHUNK = 1 << 20, 1 << 16
+#: Pre-tokens whose ids are kept at hand.
+KEPT = 1 << 18
 
 
 def vocabulary() -> str:
@@ -43,47 +50,61 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def boundaries(text: str, split: regex.Pattern) -> list[int]:
-    """Ends of the pre-tokens of text, which cover all of it."""
-    return [m.end() for m in split.finditer(text)]
+def tokens(text: str, split: regex.Pattern) -> list[str]:
+    """The pre-tokens of text, as whole matches."""
+    return [m[0] for m in split.finditer(text)] if split.groups else split.findall(text)
 
 
-def resync(left: list[int], right: list[int], shift: int, text: str, at: int) -> int | None:
-    """First offset in the left chunk that is a boundary of both, with a character other than white
-    space before it (a run of white space looks one character ahead), or None.
+def resync(left: list[str], right: list[str], left_end: int, right_begin: int, text: str) -> tuple[int, int, int] | None:
+    """The first offset of text that is a boundary of two neighbours' pre-tokens, with a character other than white
+    space before it (a run of white space looks one character ahead): the offset, and how many pre-tokens of the left
+    and of the right chunk stand before it; or None.
 
-    right is counted from shift in the left chunk; the left chunk's last boundary is its own end
-    and may be false. text, at: the whole text and where the left chunk begins in it.
+    The left chunk's last boundary is its own end and may be false.
     """
-    mine = {x + shift for x in right}
-    for x in left[:-1]:
-        if x >= shift and x in mine and not text[at + x - 1].isspace():
-            return x
+    at, k, ends = left_end, len(left), {}
+    while k and at - len(left[k - 1]) >= right_begin:
+        k -= 1
+        at -= len(left[k])
+        ends[at] = k
+    for m, x in enumerate(accumulate(map(len, right), initial=right_begin)):
+        if x >= left_end:
+            return None
+        if x in ends and x and not text[x - 1].isspace():
+            return x, ends[x], m
     return None
 
 
-def cuts(text: str, split: regex.Pattern, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Offsets at which text can be cut into pieces to encode alone: 0, ..., len(text)."""
-    out, at, n = [0], 0, len(text)
-    while n - at > chunk + overlap:
-        reach = chunk
-        while True:
-            if at + reach + overlap >= n:
-                return [*out, n]
-            left = boundaries(text[at : at + reach + overlap], split)
-            right = boundaries(text[at + reach : at + reach + overlap], split)
-            if (x := resync(left, right, reach, text, at)) is not None:
-                break
-            reach += chunk
-        at += x
-        out.append(at)
-    return [*out, n] if n > out[-1] or n == 0 else out
+def pieces(text: str, split: regex.Pattern, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[list[str]]:
+    """The pre-tokens of text, a list for each stitched piece."""
+    n = len(text)
+    begin, end = 0, min(n, chunk + overlap)
+    left = tokens(text[:end], split)
+    for at in range(chunk, n - overlap, chunk):
+        stop = min(n, at + chunk + overlap)
+        right = tokens(text[at:stop], split)
+        if (met := resync(left, right, end, at, text)) is None:
+            left = tokens(text[begin:stop], split)
+        else:
+            begin, k, m = met
+            yield left[:k]
+            left = right[m:]
+        end = stop
+    yield left
+
 
+class Known(dict):
+    """Ids of pre-tokens."""
 
-def chunk_cut(text: str, reach: int, split: regex.Pattern) -> int:
-    """For a chunk with its overlap as text: where its right neighbour takes over, or -1."""
-    x = resync(boundaries(text, split), boundaries(text[reach:], split), reach, text, 0)
-    return -1 if x is None else x
+    def __init__(self, encoding):
+        super().__init__()
+        self.encoding = encoding
+
+    def __missing__(self, token: str) -> list[int]:
+        found = self.encoding.encode_ordinary(token)
+        if len(token) < 64:
+            self[token] = found
+        return found
 
 
 class Codec:
@@ -97,14 +118,16 @@ class Codec:
         self.split = regex.compile(pat or pattern())
         self.piece = tiktoken.Encoding("ranks", pat_str=pat or pattern(), mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.known = Known(self.piece)
+
+    def ids(self, piece: list[str]) -> list[int]:
+        """The ids of a piece's pre-tokens; each is its own whole match, so it is encoded alone."""
+        if len(self.known) > KEPT:
+            self.known.clear()
+        return list(chain.from_iterable(map(self.known.__getitem__, piece)))
 
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-        if len(text) <= chunk + overlap:
-            return self.piece.encode_ordinary(text)
-        at, ids = cuts(text, self.split, chunk, overlap), []
-        for a, b in zip(at, at[1:]):
-            ids += self.piece.encode_ordinary(text[a:b])
-        return ids
+        return [x for piece in pieces(text, self.split, chunk, overlap) for x in self.ids(piece)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -112,7 +135,7 @@ class Codec:
 
 def encode(docs: DataFrame, path: str | None = None, pat: str | None = None) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids of every row: short texts in one pass without a shuffle,
-    long ones by chunks in tasks of their own (see long_ids)."""
+    chunks of long ones in tasks of their own (see spread)."""
     d = pick(docs, doc_id="long", text="string", lang="string", source="string").withColumn("text", F.coalesce("text", F.lit("")))
     schema = "doc_id long, lang string, source string, n_tokens int, ids array<int>"
 
@@ -127,14 +150,14 @@ def encode(docs: DataFrame, path: str | None = None, pat: str | None = None) ->
 
     short = by_row(d.where(F.length("text") <= LONG), make, schema, 200)
     many = d.where(F.length("text") > LONG).withColumn("digest", F.sha2("text", 256))
-    found = long_ids(many.select("digest", "text"), path, pat)
+    found = spread(many.select("digest", "text"), path, pat)
     return short.unionByName(many.drop("text").join(found, "digest").select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids"))
 
 
-def long_ids(texts: DataFrame, path: str | None = None, pat: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """digest, ids of each different text, its chunks spread over the cluster.
+def spread(texts: DataFrame, path: str | None = None, pat: str | None = None, chunk: int = LONG_CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """digest, ids of each different text (digest, text), its chunks dealt out over the cluster.
 
-    Chunks are dealt out with their overlaps; each finds where its right neighbour takes over; a
+    Chunks have their overlaps with them; each finds where its right neighbour takes over; a
     window over the text's chunks (a few rows each) tells each chunk where it starts, and chunks
     without a common boundary join the next one; the pieces are encoded and put together in order.
     """
@@ -150,15 +173,16 @@ def long_ids(texts: DataFrame, path: str | None = None, pat: str | None = None,
         split = regex.compile(pat or pattern())
 
         def one(digest, k, text, last):
-            yield digest, k, text[: len(text) if last else chunk], text[chunk:], -2 if last else chunk_cut(text, chunk, split)
+            met = None if last else resync(tokens(text, split), tokens(text[chunk:], split), len(text), chunk, text)
+            yield digest, k, text[: len(text) if last else chunk], text[chunk:], -2 if last else met[0] if met else -1
 
         return one
 
-    def pieces():
+    def encoded():
         codec = Codec(path, pat)
 
         def one(digest, k, parts):
-            # parts: the chunks of one group in order, each as (start, text, tail, cut); the last ends at its cut
+            # parts: the chunks of one group in order, each as (k, start, text, tail, cut); the last ends at its cut
             whole = "".join(p["text"] for p in parts) + (parts[-1]["tail"] if parts[-1]["cut"] >= 0 else "")
             end = len(whole) if parts[-1]["cut"] < 0 else sum(len(p["text"]) for p in parts[:-1]) + parts[-1]["cut"]
             yield digest, k, codec.encode(whole[parts[0]["start"] : end])
@@ -167,14 +191,11 @@ def long_ids(texts: DataFrame, path: str | None = None, pat: str | None = None,
 
     dealt = by_row(texts.dropDuplicates(["digest"]), chunks, "digest string, k int, text string, last boolean", 16)
     known = by_row(dealt.repartition("digest", "k"), cut, "digest string, k int, text string, tail string, cut int", 16)
-    known.createOrReplaceTempView("bpe_chunks")
-    grouped = known.sparkSession.sql(f"""
-        SELECT digest, min(k) AS k, array_sort(collect_list(named_struct('k', k, 'start', start, 'text', text, 'tail', tail, 'cut', cut))) AS parts
-        FROM (SELECT *, sum(if(before >= 0 OR before IS NULL, 1, 0)) OVER (PARTITION BY digest ORDER BY k) AS g,
-                     if(before >= 0, before - {chunk}, 0) AS start
-              FROM (SELECT *, lag(cut) OVER (PARTITION BY digest ORDER BY k) AS before FROM bpe_chunks))
-        GROUP BY digest, g""")
-    ids = by_row(grouped, pieces, "digest string, k int, ids array<int>", 16)
+    order = W.partitionBy("digest").orderBy("k")
+    known = known.withColumn("before", F.lag("cut").over(order))
+    known = known.withColumns({"g": F.sum(F.when((F.col("before") >= 0) | F.col("before").isNull(), 1).otherwise(0)).over(order), "start": F.when(F.col("before") >= 0, F.col("before") - chunk).otherwise(0)})
+    grouped = known.groupBy("digest", "g").agg(F.min("k").alias("k"), F.array_sort(F.collect_list(F.struct("k", "start", "text", "tail", "cut"))).alias("parts")).drop("g")
+    ids = by_row(grouped, encoded, "digest string, k int, ids array<int>", 16)
     return ids.groupBy("digest").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 

@@ -5,8 +5,13 @@ The page is cut into blocks at block-level tags. The first pass decides blocks b
 stop-word density. Short or doubtful blocks stay undecided; in the second pass they inherit the
 label of the nearest decided neighbours of their section.
 
+Where a page names no article, all of it that no menu, header and the like holds is one section. In a language whose
+stop words are not known (none of them occur) length and link density decide alone. Inside an article only a closed
+list of whole class and id words and of roles sets a part aside.
+
 Defined results: null or empty html has empty text; markup that is broken or cut off is read as far
-as it goes; repeated rows each give a row; null page_id and url are kept; other columns are ignored.
+as it goes; repeated rows each give a row; null page_id and url are kept; other columns are ignored; an empty
+table gives an empty table; pages of any length are read whole, in one pass.
 """
 
 from __future__ import annotations
@@ -30,6 +35,11 @@ OUTSIDE = frozenset("head nav header footer aside form menu button select dialog
 ARTICLE = frozenset("article main".split())
 #: Words in class, id and role that name parts which are not the article's.
 NAMES = re.compile(r"(?:^|[\s_\-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|contentinfo|cookies?|copyright|disqus|footer|gdpr|header|login|masthead|menu|modal|nav\w*|newsletter|notice|pagination|paywall|popup|promo\w*|recommend\w*|related|respond|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget|complementary)(?:$|[\s_\-])", re.I)
+#: Inside an article: whole words of class and id, and roles, that set a part aside.
+INSIDE = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments comment-list comments-area cookie-banner disqus disqus_thread newsletter pagination paywall popup promo related related-posts respond share share-buttons sharing sidebar social sponsored subscribe widget".split())
+ROLES = frozenset("navigation banner complementary contentinfo form search dialog alertdialog menu menubar toolbar".split())
+#: Share of stop words from which a page's language is a known one.
+KNOWN = 0.03
 #: Of these, parts that hold articles of their own, such as a reader's comment or a card.
 LISTS = re.compile(r"(?:^|[\s_\-])(?:ads?|advert\w*|comments?|disqus|footer|nav\w*|promo\w*|recommend\w*|related|respond|sidebar|sponsor\w*)(?:$|[\s_\-])", re.I)
 #: Classes that tell of a wrapper's state or layout, or are a framework's, name no part.
@@ -70,6 +80,11 @@ def labels(attrs: dict[str, str]) -> str:
     return " ".join([*named, *(attrs[k] for k in ("role", "aria-label") if k in attrs)])
 
 
+def inside(attrs: dict[str, str]) -> bool:
+    """Whether an element in an article is set aside."""
+    return not INSIDE.isdisjoint(x.lower() for k in ("class", "id") for x in attrs.get(k, "").split()) or not ROLES.isdisjoint(attrs.get("role", "").lower().split())
+
+
 @dataclass
 class Block:
     text: str
@@ -79,6 +94,8 @@ class Block:
     links: int = 0
     heading: bool = False
     label: str = ""
+    #: The page names no article.
+    assumed: bool = False
 
 
 def blocks(source: str) -> list[Block]:
@@ -148,8 +165,11 @@ def blocks(source: str) -> list[Block]:
                     section = sections
             has = attributes(attrs) if attrs else {}
             named = labels(has) if has and name not in ("html", "body", "article", "main") else ""
-            outside = outside or name in OUTSIDE or hidden(has)
-            aside = bool(named and NAMES.search(named))
+            # an article's own header has its title
+            outside = outside or name in OUTSIDE and not (section and name == "header") or hidden(has)
+            if section and has and name not in ARTICLE:
+                outside = outside or inside(has)
+            aside = bool(named and not section and NAMES.search(named))
             if aside:
                 around = (*around, len(lists))
                 lists.append(bool(LISTS.search(named)))
@@ -166,16 +186,24 @@ def blocks(source: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block) -> str:
-    """good, bad or empty for undecided."""
-    if b.outside or not b.article and RIGHTS.search(b.text) and len(b.text) < 4 * SHORT:
+def stop_share(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = LETTERS.findall(text.lower())
+    return sum(w in STOP for w in words), len(words)
+
+
+def first_pass(b: Block, known: bool) -> str:
+    """good, bad or empty for undecided; known: the page's language has stop words here."""
+    if b.outside or (b.assumed or not b.article) and RIGHTS.search(b.text) and len(b.text) < 4 * SHORT:
         return "bad"
     if b.links > LINKS * len(b.text):
         return "bad"
     if len(b.text) < SHORT or b.heading:
         return ""
-    words = LETTERS.findall(b.text.lower())
-    density = sum(w in STOP for w in words) / len(words) if words else 0.0
+    if not known:
+        return "good"
+    n, m = stop_share(b.text)
+    density = n / m if m else 0.0
     if density >= TEXT or b.article and density >= MAYBE:
         return "good"
     return "" if b.article or density >= MAYBE else "bad"
@@ -211,15 +239,21 @@ def second_pass(found: list[Block]) -> None:
             b.label = "good" if b.article else "bad"
 
 
-def main_text(source: str | None) -> str:
+def labelled(source: str | None) -> list[Block]:
+    """The blocks of a page, all labelled good or bad."""
     found = blocks(source or "")
-    if not any(b.article for b in found) and not any(b.outside for b in found):
-        for b in found:  # a page without any structure is its own section
-            b.article = len(found) == 1
+    if not any(b.article for b in found):
+        for b in found:
+            b.article = b.assumed = not b.outside
+    n, m = map(sum, zip(*(stop_share(b.text) for b in found if not b.outside))) if any(not b.outside for b in found) else (0, 0)
     for b in found:
-        b.label = first_pass(b)
+        b.label = first_pass(b, n >= KNOWN * m and n > 0)
     second_pass(found)
-    return " ".join(b.text for b in found if b.label == "good")
+    return found
+
+
+def main_text(source: str | None) -> str:
+    return " ".join(b.text for b in labelled(source) if b.label == "good")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -36,7 +36,8 @@ def shingles(text: str | None) -> np.ndarray:
     body = b" ".join(text.encode().lower().split()) if text else b""
     if not body:
         return np.zeros(0, np.uint64)
-    h = Units(body, np.array([len(body)], np.int64), True).hashes
+    units = Units(body, np.array([len(body)], np.int64), True)
+    h = units.hashes(0, len(units))
     k = min(SHINGLE, len(h))
     n = len(h) - k + 1
     return np.unique(mixed(sum(h[j : j + n] * powers(R_UNIT, k)[j] for j in range(k))))

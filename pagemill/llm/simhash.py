@@ -4,9 +4,10 @@ Fingerprints are compared once each, however many documents have them. A tile ho
 fingerprints with the same population counts in their four 16-bit lanes. Two fingerprints within
 RADIUS bits differ by no more than RADIUS in these counts, summed over lanes (nor, therefore, in
 their whole counts), so a tile is compared with itself and with the few tiles that near it; all
-other pairs of tiles are skipped. Large tiles are split into parts by hash, of at most PART_PAIRS
-comparisons, so that no task grows without bound. Each part gives a spanning forest of its links,
-not all of its pairs; connected components of the forests give the classes.
+other pairs of tiles are skipped. Members and visitors of a tile are cut into blocks of about SIDE by
+hash, and each pair of blocks is a part of its own, so that no part grows with the input; a task holds one part
+at a time. Each part gives a spanning forest of its links, not all of its pairs; connected components of
+the forests give the classes.
 
 Defined results: null or empty text and text of white space only have fingerprint zero, linked
 like any other; repeated rows each give a row; a null doc_id is kept and never names a component
@@ -30,8 +31,8 @@ RADIUS = 2
 SHINGLE = 3
 SEED = 42
 LANES = 4
-#: Comparisons in one part of a tile.
-PART_PAIRS = 1 << 28
+#: Fingerprints in a block of a tile.
+SIDE = 1 << 14
 #: Shingles counted at a time.
 BLOCK = 1 << 16
 
@@ -136,10 +137,28 @@ def settled(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def block_of(fps: np.ndarray, blocks: int) -> np.ndarray:
+    """The blocks of a tile that fingerprints fall into."""
+    return (fps * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks
+
+
+def parts_of(fps: np.ndarray, own: bool, mine: int, theirs: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Where a tile's fingerprints go, of mine blocks of members and theirs of visitors: which, to which part, and
+    whether as the part's own. Part (i, j) compares block i with itself and with block j; visitors' blocks follow members'."""
+    home = block_of(fps, mine if own else theirs)
+    for i in range(mine):
+        for j in range(i, mine + theirs):
+            if own:
+                here = (home == i) | (home == j)
+                yield np.flatnonzero(here), i * (mine + theirs) + j, home[here] == i
+            elif j >= mine:
+                here = np.flatnonzero(home == j - mine)
+                yield here, i * (mine + theirs) + j, np.zeros(len(here), bool)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, side: int = SIDE) -> DataFrame:
     """a, b: spanning forests of all links between the different values in fps (fp)."""
-    spark = fps.sparkSession
-    spot = "tile long, part int, own boolean, fp long"
+    spot = "tile long, part long, visitor boolean, fp long"
 
     def counted(found):
         # members and visitors of each tile in this task's rows
@@ -156,47 +175,53 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     # At most 17 ** 4 tiles exist, whatever the input: this may go to the driver.
     tiles = fps.mapInArrow(counted, "tile long, own long, rest long").groupBy("tile").agg(F.sum("own").alias("own"), F.sum("rest").alias("rest"))
-    parts = {t: -(-n * (n + m) // PART_PAIRS) for t, n, m in tiles.where(F.col("own").cast("double") * (F.col("own") + F.col("rest")) > PART_PAIRS).collect()}
+    blocks = {t: (-(-n // side), -(-m // side)) for t, n, m in tiles.where((F.col("own") > 0) & (F.col("own") + F.col("rest") > 2 * side)).collect()}
 
     def dealt(found):
         schema = arrow_schema(spot)
+        big = np.array(sorted(blocks), np.int64)
         for batch in found:
             x = batch.column(0).to_numpy().view(np.uint64)
             c = lanes(x)
             for ok, t, own in [(np.arange(len(x)), tile_of(c), True), *((ok, t, False) for ok, t in near_tiles(c, radius))]:
-                f, rows = x[ok], [(t, np.zeros(len(t), np.int32), np.full(len(t), own), x[ok])]
-                for tile in set(t.tolist()) & parts.keys():
-                    n, at = parts[tile], t == tile
-                    t0, p0, o0, f0 = rows[0]
-                    rows[0] = (t0[t0 != tile], p0[t0 != tile], o0[t0 != tile], f0[t0 != tile])
-                    home = (f[at] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
-                    for p in range(n):
-                        rows.append((t[at], np.full(at.sum(), p, np.int32), (home == p) & own, f[at]))
-                for a, b, o, g in rows:
+                f = x[ok]
+                split = np.isin(t, big)
+                rows = [(t[~split], np.zeros(int((~split).sum()), np.int64), np.full(int((~split).sum()), not own), f[~split])]
+                for tile in np.unique(t[split]).tolist():
+                    g = f[t == tile]
+                    for here, part, mine in parts_of(g, own, *blocks[tile]):
+                        rows.append((np.full(len(here), tile), np.full(len(here), part), ~mine, g[here]))
+                for a, b, v, g in rows:
                     if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(o), pa.array(g.view(np.int64))], schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(v), pa.array(g.view(np.int64))], schema=schema)
 
     def compared(found):
-        got = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in found]
-        if not got:
-            return
-        tile, part, own, fp = (np.concatenate(c) for c in zip(*got))
-        order = np.lexsort((~own, part, tile))
-        tile, part, own, fp = tile[order], part[order], own[order], fp[order].view(np.uint64)
-        edge = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]) | (part[1:] != part[:-1]), [True])))
         schema = arrow_schema("a long, b long")
-        lefts, rights = [], []
-        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            n = int(own[i:j].sum())
-            if n and j - i > 1:
-                a, b = forest(fp[i : i + n], fp[i + n : j], radius)
+        held, now = [], None
+
+        def out():
+            visitor, fp = (np.concatenate(x) for x in zip(*held))
+            n = int((~visitor).sum())
+            if n and len(fp) > 1:
+                a, b = forest(fp[:n].view(np.uint64), fp[n:].view(np.uint64), radius)
                 if len(a):
-                    lefts.append(a)
-                    rights.append(b)
-        if lefts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (lefts, rights)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], schema=schema)
 
-    return fps.mapInArrow(dealt, spot).repartition("tile", "part").mapInArrow(compared, "a long, b long")
+        # rows come in order of tile and part, members first
+        for batch in found:
+            tile, part, visitor, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            edge = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]) | (part[1:] != part[:-1]), [True]))) if len(tile) else [0]
+            for i, j in zip(edge[:-1], edge[1:]):
+                if now is not None and now != (tile[i], part[i]):
+                    yield from out()
+                    held = []
+                now = (tile[i], part[i])
+                held.append((visitor[i:j], fp[i:j]))
+        if held:
+            yield from out()
+
+    dealt_out = fps.mapInArrow(dealt, spot).repartition("tile", "part").sortWithinPartitions("tile", "part", "visitor")
+    return dealt_out.mapInArrow(compared, "a long, b long")
 
 
 def components(edges: DataFrame, what: str = "links") -> DataFrame:

@@ -34,6 +34,8 @@ from .common import arrow_schema, batches, fresh_dir, pick, saved
 MIN_BYTES = 0
 #: Bytes between two ranges that are read through, and bytes in one read.
 GAP, READ = 64 << 10, 4 << 20
+#: Bytes of records that a task reads back.
+TASK = 32 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, offset long, length long, url string, digest string, record_type string, page_id long, record_id string"
@@ -194,8 +196,10 @@ def read(index: DataFrame, with_payload: bool = True) -> DataFrame:
 
         yield from batches(rows(), arrow_schema(READ_ROWS), 200 if with_payload else 2000)
 
-    # ranges of one archive's stretch go to one task, in order; sorted ranges split large archives
-    dealt = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # ranges of one archive's stretch go to one task, in order; as many tasks as their bytes ask for, whatever the index weighs
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK))
+    dealt = index.select("file", "offset", "length").repartitionByRange(int(tasks), "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, READ_ROWS)
 
 

@@ -63,13 +63,6 @@ def test_substring(docs, empty):
     assert substring.removals(empty).count() == 0
 
 
-def test_history_is_incremental():
-    one = (np.array([1, 5, 9], np.uint64), np.array([1, 2, 1], np.uint8))
-    two = (np.array([5, 7, 9], np.uint64), np.array([1, 1, 1], np.uint8))
-    h, n = substring.merged([one, two])
-    assert h.tolist() == [1, 5, 7, 9] and n.tolist() == [1, 2, 1, 2]
-
-
 def test_bwt(docs, empty):
     first = {}
     key = lambda i: 1 << 62 if i is None else i
@@ -90,20 +83,6 @@ def test_bwt(docs, empty):
     assert bwt.removals(empty).count() == 0
 
 
-def test_bwt_merge_orders_all_suffixes():
-    texts = [b"banana bandana", b"bandana banana", b"anabana", b"cabana banana band"]
-    body = b"".join(t + b"\xff" for t in texts)
-    parts = [np.frombuffer(t + b"\xff", np.uint8) for t in texts]
-    base = np.cumsum([0, *map(len, parts)])
-    made = [bwt.Transform(p, 16) for p in parts]
-    order, common = bwt.merge(made, 10)
-    spot = np.concatenate([t.order + b for t, b in zip(made, base)])[order]
-    around = lambda s: (lambda k: (body[base[k] : base[k + 1]] * 3)[s - base[k] :][:10])(int(np.searchsorted(base, s, side="right")) - 1)
-    found = [around(s) for s in spot.tolist()]
-    assert found == sorted(found)
-    assert [c == 10 for c in common[1:]] == [a == b for a, b in zip(found, found[1:])]
-
-
 def test_simhash(docs, empty):
     def fp(t):
         w = (t or "").encode().lower().split()
@@ -158,7 +137,7 @@ def test_bpe(docs, empty):
 def test_bpe_long_texts(spark):
     texts = [prose(700), "x" * 900, " \n " * 300 + "end", "short"]
     df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "digest string, text string")
-    got = {r["digest"]: r["ids"] for r in bpe.long_ids(df, chunk=128, overlap=32).collect()}
+    got = {r["digest"]: r["ids"] for r in bpe.spread(df, chunk=128, overlap=32).collect()}
     c = bpe.Codec()
     assert got == {str(k): c.piece.encode_ordinary(t) for k, t in enumerate(texts)}
 
