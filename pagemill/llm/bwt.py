@@ -177,7 +177,8 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
                     gone = windows.covered(len(body), windows.flagged(c.first, c.count, np.where(whole, ~np.uint64(0), c.masked(p1, b1)[c.which])), window)
                 yield spans(schema, ids, np.frombuffer(ends, np.int64), body, gone)
 
-    return s.with_answers(hit, masks).select("ids", "ends", "body", "parts0", "blobs0", "parts1", "blobs1").mapInArrow(run, SPANS)
+    answered = s.with_answers(hit, masks).select("ids", "ends", "body", "parts0", "blobs0", "parts1", "blobs1")
+    return saved(answered.mapInArrow(run, SPANS), "spans")
 
 
 def spans(schema: pa.Schema, ids: list, ends: np.ndarray, body: bytes, gone: np.ndarray) -> pa.RecordBatch:

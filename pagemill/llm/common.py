@@ -68,11 +68,28 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes in an Arrow batch while a table is written; rows may hold shards of some megabytes.
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def narrow_batches(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches for what is executed meanwhile; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_dir(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    with narrow_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -87,8 +104,9 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(name, ARROW[kind]) for name, kind in (x.split() for x in schema.split(","))])
 
 
-def rows_of(batch: pa.RecordBatch, step: int = 64) -> Iterator[tuple]:
-    """A batch's rows, some at a time: Spark bounds a batch's bytes, not what its rows weigh in Python."""
+def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """A batch's rows, about a megabyte at a time: Spark bounds a batch's bytes, not what its rows weigh in Python."""
+    step = max(1, min(256, (batch.num_rows << 20) // max(1, batch.nbytes)))
     for k in range(0, batch.num_rows, step):
         yield from zip(*(c.to_pylist() for c in batch.slice(k, step).columns))
 

@@ -125,9 +125,9 @@ class FingerprintLog:
             self.run = None
         return self.history
 
-    def flags(self) -> DataFrame:
-        """Shards (ids, ends, body of words) of all batches with their documents' removed words as bits."""
-        return reduce(DataFrame.unionByName, [applied(s, self.found[k:]) for k, s in enumerate(self.batches)])
+    def kept(self, with_text: bool) -> DataFrame:
+        """doc_id, n_words, n_removed, kept_sha256 (or kept, the text where words were removed) of each document of all batches."""
+        return saved(reduce(DataFrame.unionByName, [applied(s, self.found[k:], with_text) for k, s in enumerate(self.batches)]), "kept")
 
 
 COLUMNS = ["shard", "hashes", "prints", "counts", "shards"]
@@ -181,74 +181,60 @@ def verify(window: int, homes: dict[int, windows.Homes]):
     return f
 
 
-def search(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, hot: int = windows.HOT, bits: int | None = None) -> DataFrame:
-    """flags() of a log to which the table is appended in batches, dealt out by hash of the text."""
+def search(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, hot: int = windows.HOT, bits: int | None = None) -> FingerprintLog:
+    """A log to which the table is appended in batches, dealt out by hash of the text."""
     log = FingerprintLog(docs.sparkSession, window, gram, hot, bits or windows.Layout(docs).bits)
     turn = F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(batches))
     for k in range(batches):
         log.append(docs.where(turn == k))
-    return log.flags()
+    return log
 
 
-FLAGS = "ids array<long>, ends binary, body binary, removed binary"
-
-
-def applied(s: windows.Shards, found: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """A batch's shards with what its own append and the later ones found in them."""
+def applied(s: windows.Shards, found: list[tuple[DataFrame, DataFrame]], with_text: bool) -> DataFrame:
+    """The documents of a batch's shards without the words that its own append and the later ones found repeated."""
     runs_of, contents, window, n = s.runs_of(), s.contents_of(), s.window, len(found)
+    schema = "doc_id long, n_words long, n_removed long, " + ("kept string" if with_text else "kept_sha256 string")
 
     def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(FLAGS)
+        kind = arrow_schema(schema)
         for batch in got:
             for ids, ends, body, *answers in rows_of(batch):
-                gone, units = np.zeros(0, bool), None
+                units, marks = runs_of(ends, body)
+                gone = np.zeros(len(units), bool)
                 for p0, b0, p1, b1 in (answers[4 * k : 4 * k + 4] for k in range(n)):
                     if p1:
-                        if units is None:
-                            units, marks = runs_of(ends, body)
-                            gone = np.zeros(len(units), bool)
                         c = contents(units, marks, p0, b0)
                         gone |= windows.covered(len(units), windows.flagged(c.first, c.count, c.masked(p1, b1)[c.which]), window)
-                yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((ids, ends, body, np.packbits(gone).tobytes()), schema)], schema=schema)
-
-    columns = [f"{c}{k}" for k in range(2 * n) for c in ("parts", "blobs")]
-    return s.with_answers(*(x for pair in found for x in pair)).select("ids", "ends", "body", *columns).mapInArrow(run, FLAGS)
-
-
-def kept_words(flags: DataFrame, with_text: bool) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (or kept, the text) of each document in rows of search()."""
-    schema = "doc_id long, n_words long, n_removed long, " + ("kept string" if with_text else "kept_sha256 string")
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = arrow_schema(schema)
-        for batch in found:
-            for ids, ends, body, removed in rows_of(batch):
-                ends = np.frombuffer(ends, np.int64)
-                begin, end = windows.words_of(body)
-                edges = np.concatenate(([0], np.searchsorted(begin, ends)))
-                gone = np.unpackbits(np.frombuffer(removed, np.uint8), count=len(begin)).astype(bool) if removed else np.zeros(len(begin), bool)
-                lost = np.concatenate(([0], np.cumsum(gone)))
-                rows, at = [], 0
-                for k, doc_id in enumerate(ids):
-                    a, b, stop = int(edges[k]), int(edges[k + 1]), int(ends[k])
-                    n = int(lost[b] - lost[a])
-                    if not n:
-                        text = body[at : max(at, stop - 1)]
-                    else:
-                        # stretches of kept words
-                        step = np.diff(np.concatenate(([1], gone[a:b].astype(np.int8), [1])))
-                        firsts, lasts = np.flatnonzero(step == -1) + a, np.flatnonzero(step == 1) + a - 1
-                        text = b" ".join(body[i:j] for i, j in zip(begin[firsts].tolist(), end[lasts].tolist()))
-                    rows.append((doc_id, b - a, n, text.decode() if with_text else hashlib.sha256(text).hexdigest()))
-                    at = stop
+                rows = documents(units, ids, gone, with_text)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), kind)], schema=kind)
 
-    return flags.mapInArrow(run, schema)
+    columns = [f"{c}{k}" for k in range(2 * n) for c in ("parts", "blobs")]
+    return s.with_answers(*(x for pair in found for x in pair)).select("ids", "ends", "body", *columns).mapInArrow(run, schema)
+
+
+def documents(units: windows.Units, ids: list, gone: np.ndarray, with_text: bool) -> list[tuple]:
+    """doc_id, n_words, n_removed and the kept words (or their digest) of a shard's documents."""
+    body, begin, end, edges = units.body, units.begin, units.end, units.edges
+    lost = np.concatenate(([0], np.cumsum(gone)))
+    rows, at = [], 0
+    for k, (doc_id, stop) in enumerate(zip(ids, units.ends.tolist())):
+        a, b = int(edges[k]), int(edges[k + 1])
+        n = int(lost[b] - lost[a])
+        if not n:
+            text = body[at : max(at, stop - 1)]
+        else:
+            # stretches of kept words
+            step = np.diff(np.concatenate(([1], gone[a:b].astype(np.int8), [1])))
+            firsts, lasts = np.flatnonzero(step == -1) + a, np.flatnonzero(step == 1) + a - 1
+            text = b" ".join(body[i:j] for i, j in zip(begin[firsts].tolist(), end[lasts].tolist()))
+        rows.append((doc_id, b - a, n, (text.decode() if n else None) if with_text else hashlib.sha256(text).hexdigest()))
+        at = stop
+    return rows
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """The columns of op1."""
-    return kept_words(search(docs), with_text=False)
+    return search(docs).kept(with_text=False)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -257,7 +243,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     them, so a doc_id may be null or repeated."""
     columns = docs.columns
     keyed = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    found = kept_words(search(keyed.withColumn("doc_id", F.col("_row"))), with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_doc"), F.col("kept").alias("_kept"))
+    found = search(keyed.withColumn("doc_id", F.col("_row"))).kept(with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_doc"), F.col("kept").alias("_kept"))
     out = keyed.join(found, keyed["_row"] == found["_doc"], "left").where("_kept IS NULL OR _kept <> ''")
     changed = {"text": F.coalesce("_kept", "text"), "n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in columns else None}
     return out.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col(c) for c in columns])

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, fresh_dir, pick, rows_of
+from .common import arrow_schema, fresh_dir, narrow_batches, pick, rows_of
 
 #: Bytes of text in a shard, windows looked at together, bytes of input a hash range and a bucket.
 SHARD, BLOCK, RANGE, BUCKET = 1 << 20, 1 << 14, 2 << 20, 16 << 20
@@ -228,7 +228,8 @@ def pack(docs: DataFrame, layout: Layout, words: bool, batch: int, homes: Homes)
 
     name = f"pagemill_shards_{uuid.uuid4().hex}"
     packed = pick(docs, doc_id="long", text="string").mapInArrow(run, SHARDS)
-    packed.write.format("parquet").option("compression", "zstd").option("path", fresh_dir(spark, "shards")).bucketBy(layout.buckets, "home").saveAsTable(name)
+    with narrow_batches(spark):
+        packed.write.format("parquet").option("compression", "zstd").option("path", fresh_dir(spark, "shards")).bucketBy(layout.buckets, "home").saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # its files stay, and the plan knows them and their buckets
     return table

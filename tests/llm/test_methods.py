@@ -37,8 +37,8 @@ def removed_words(rows, window=35):
     return out
 
 
-def words_found(flags):
-    return collections.Counter(tuple(r) for r in substring.kept_words(flags, False).collect())
+def words_found(log):
+    return collections.Counter(tuple(r) for r in log.kept(False).collect())
 
 
 @pytest.mark.parametrize("hot", [2, 512])
@@ -49,7 +49,7 @@ def test_log_on_halves_equals_the_whole(spark, docs, hot, monkeypatch):
     for half in (DOCS[::2], DOCS[1::2]):
         log.append(spark.createDataFrame(half, "doc_id long, text string"))
         seen += half
-        assert words_found(log.flags()) == removed_words(seen)
+        assert words_found(log) == removed_words(seen)
     assert words_found(substring.search(docs, hot=hot, bits=2)) == removed_words(DOCS)
     entries = log.compact().collect()
     assert sum(len(r["hashes"]) // 5 for r in entries) == sum(len(r["shards"]) // 8 for r in entries) > 0
