@@ -4,7 +4,7 @@ Every text is cut into chunks that overlap. Each chunk is pre-tokenised on its o
 character, so chunks need not wait for each other. Two neighbours' pre-token boundaries are then
 compared within their overlap: at the first boundary both have, the pre-tokeniser has no memory
 left of where it began, so all later boundaries of the right chunk are the text's own. The text is
-cut there, and each piece's pre-tokens are encoded. Where an overlap holds no common boundary (one
+cut there, and each piece is encoded. Where an overlap holds no common boundary (one
 pre-token longer than the overlap), the left chunk is extended by its neighbour.
 
 Chunks of one text run one after another in a task, but for texts of more than LONG characters: theirs are dealt
@@ -20,9 +20,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
-from itertools import accumulate, chain
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -34,8 +35,6 @@ from .common import by_row, pick
 CHUNK, OVERLAP = 2_048, 128
 #: Texts above this many characters have their chunks, of so many characters, dealt out over the cluster.
 LONG, LONG_CHUNK = 1 << 20, 1 << 16
-#: Pre-tokens whose ids are kept at hand.
-KEPT = 1 << 18
 
 
 def vocabulary() -> str:
@@ -75,8 +74,8 @@ def resync(left: list[str], right: list[str], left_end: int, right_begin: int, t
     return None
 
 
-def pieces(text: str, split: regex.Pattern, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[list[str]]:
-    """The pre-tokens of text, a list for each stitched piece."""
+def pieces(text: str, split: regex.Pattern, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
+    """Begin and end of each stitched piece of text."""
     n = len(text)
     begin, end = 0, min(n, chunk + overlap)
     left = tokens(text[:end], split)
@@ -86,25 +85,11 @@ def pieces(text: str, split: regex.Pattern, chunk: int = CHUNK, overlap: int = O
         if (met := resync(left, right, end, at, text)) is None:
             left = tokens(text[begin:stop], split)
         else:
-            begin, k, m = met
-            yield left[:k]
-            left = right[m:]
+            at, _, m = met
+            yield begin, at
+            begin, left = at, right[m:]
         end = stop
-    yield left
-
-
-class Known(dict):
-    """Ids of pre-tokens."""
-
-    def __init__(self, encoding):
-        super().__init__()
-        self.encoding = encoding
-
-    def __missing__(self, token: str) -> list[int]:
-        found = self.encoding.encode_ordinary(token)
-        if len(token) < 64:
-            self[token] = found
-        return found
+    yield begin, n
 
 
 class Codec:
@@ -118,40 +103,44 @@ class Codec:
         self.split = regex.compile(pat or pattern())
         self.piece = tiktoken.Encoding("ranks", pat_str=pat or pattern(), mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.known = Known(self.piece)
-
-    def ids(self, piece: list[str]) -> list[int]:
-        """The ids of a piece's pre-tokens; each is its own whole match, so it is encoded alone."""
-        if len(self.known) > KEPT:
-            self.known.clear()
-        return list(chain.from_iterable(map(self.known.__getitem__, piece)))
 
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-        return [x for piece in pieces(text, self.split, chunk, overlap) for x in self.ids(piece)]
+        return [x for a, b in pieces(text, self.split, chunk, overlap) for x in self.piece.encode_ordinary(text[a:b])]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def encode(docs: DataFrame, path: str | None = None, pat: str | None = None) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids of every row: short texts in one pass without a shuffle,
-    chunks of long ones in tasks of their own (see spread)."""
+def encoded(docs: DataFrame, make: Callable[[Codec], Callable[..., tuple]], schema: str, path: str | None = None, pat: str | None = None) -> DataFrame:
+    """make(codec)(doc_id, lang, source, ids) of every row, in the pass that encodes it; chunks of long texts are encoded in
+    tasks of their own (see spread)."""
     d = pick(docs, doc_id="long", text="string", lang="string", source="string").withColumn("text", F.coalesce("text", F.lit("")))
-    schema = "doc_id long, lang string, source string, n_tokens int, ids array<int>"
 
-    def make():
+    def short():
         codec = Codec(path, pat)
+        row = make(codec)
 
         def one(doc_id, text, lang, source):
-            ids = codec.encode(text)
-            yield doc_id, lang, source, len(ids), ids
+            yield row(doc_id, lang, source, codec.encode(text))
+
+        return one
+
+    def long():
+        row = make(Codec(path, pat))
+
+        def one(doc_id, lang, source, ids):
+            yield row(doc_id, lang, source, ids)
 
         return one
 
-    short = by_row(d.where(F.length("text") <= LONG), make, schema, 200)
     many = d.where(F.length("text") > LONG).withColumn("digest", F.sha2("text", 256))
-    found = spread(many.select("digest", "text"), path, pat)
-    return short.unionByName(many.drop("text").join(found, "digest").select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids"))
+    found = many.drop("text").join(spread(many.select("digest", "text"), path, pat), "digest").select("doc_id", "lang", "source", "ids")
+    return by_row(d.where(F.length("text") <= LONG), short, schema, 500).unionByName(by_row(found, long, schema, 16))
+
+
+def encode(docs: DataFrame, path: str | None = None, pat: str | None = None) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids of every row."""
+    return encoded(docs, lambda codec: lambda doc_id, lang, source, ids: (doc_id, lang, source, len(ids), np.array(ids, np.int32)), "doc_id long, lang string, source string, n_tokens int, ids array<int>", path, pat)
 
 
 def spread(texts: DataFrame, path: str | None = None, pat: str | None = None, chunk: int = LONG_CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -178,7 +167,7 @@ def spread(texts: DataFrame, path: str | None = None, pat: str | None = None, ch
 
         return one
 
-    def encoded():
+    def joined():
         codec = Codec(path, pat)
 
         def one(digest, k, parts):
@@ -195,7 +184,7 @@ def spread(texts: DataFrame, path: str | None = None, pat: str | None = None, ch
     known = known.withColumn("before", F.lag("cut").over(order))
     known = known.withColumns({"g": F.sum(F.when((F.col("before") >= 0) | F.col("before").isNull(), 1).otherwise(0)).over(order), "start": F.when(F.col("before") >= 0, F.col("before") - chunk).otherwise(0)})
     grouped = known.groupBy("digest", "g").agg(F.min("k").alias("k"), F.array_sort(F.collect_list(F.struct("k", "start", "text", "tail", "cut"))).alias("parts")).drop("g")
-    ids = by_row(grouped, encoded, "digest string, k int, ids array<int>", 16)
+    ids = by_row(grouped, joined, "digest string, k int, ids array<int>", 16)
     return ids.groupBy("digest").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
@@ -214,15 +203,12 @@ def decode(ids: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """The digest columns of op6: ids by encode(), and their bytes as decode() gives them, in one pass."""
-
-    def make():
-        codec = Codec()
+    """The digest columns of op6: of the ids, and of the bytes that they decode to, in the pass that encodes."""
 
-        def one(doc_id, ids) -> Iterator[tuple]:
-            listed = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
-            yield doc_id, len(ids), listed, hashlib.sha256(codec.decode(ids)).hexdigest()
+    def make(codec):
+        def row(doc_id, lang, source, ids) -> tuple:
+            return doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
 
-        return one
+        return row
 
-    return by_row(encode(docs).select("doc_id", "ids"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded(docs, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

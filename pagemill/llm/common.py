@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,16 +112,24 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.slice(k, step).columns))
 
 
+def column(values: Sequence, kind: pa.DataType) -> pa.Array:
+    """Values as a column; lists that are numpy arrays are taken as they are."""
+    if pa.types.is_list(kind) and values and all(isinstance(v, np.ndarray) for v in values):
+        ends = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values), kind.value_type)).cast(kind)
+    return pa.array(values, kind)
+
+
 def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:
     """Tuples to Arrow batches of a bounded number of rows."""
     held: list[tuple] = []
     for row in rows:
         held.append(row)
         if len(held) >= size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
+            yield pa.RecordBatch.from_arrays([column(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
             held = []
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
+        yield pa.RecordBatch.from_arrays([column(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
 
 
 def by_row(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str, size: int = OUT_ROWS) -> DataFrame:
