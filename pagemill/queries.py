@@ -359,12 +359,15 @@ def repeated_marginals(spark, sf_dir):
     return D.repeated_marginals(blocks_of(spark, sf_dir))
 
 
-@query("header_footer_candidates", f"""{L}, m AS (SELECT book_id, page_number, block_no, {spaces('text')} AS text, CASE WHEN y1 <= height * 0.12 THEN 'top' ELSE 'bottom' END AS area FROM spans WHERE page_number <= 80 AND (y1 <= height * 0.12 OR y0 >= height * 0.88) AND length({spaces('text')}) > 0),
+CANDIDATES_SQL = f"""m AS (SELECT book_id, page_number, block_no, {spaces('text')} AS text, CASE WHEN y1 <= height * 0.12 THEN 'top' ELSE 'bottom' END AS area FROM spans WHERE page_number <= 80 AND (y1 <= height * 0.12 OR y0 >= height * 0.88) AND length({spaces('text')}) > 0),
  k AS (SELECT *, row_number() OVER (PARTITION BY book_id, page_number, area ORDER BY block_no) AS pos, {repetition('text')} AS normalized FROM m),
  u AS (SELECT *, page_number * 1000 + CASE WHEN area = 'top' THEN 0 ELSE 100 END + pos AS seen FROM k WHERE pos <= 8 AND (length(normalized) >= 3 OR length(normalized) >= 2 AND {has('normalized', '^[0-9]+$')})),
  g AS (SELECT book_id, area, normalized, count(*)::BIGINT AS repeats, min(seen) AS seen, arg_min(text, seen) AS text FROM u GROUP BY ALL),
- h AS (SELECT *, first_value(text) OVER (PARTITION BY book_id, normalized ORDER BY seen) AS t2 FROM g)
- SELECT * FROM (SELECT book_id, area, t2 AS text, normalized, repeats, row_number() OVER (PARTITION BY book_id ORDER BY area DESC, repeats DESC, seen)::INT AS rank FROM h WHERE repeats >= 3) WHERE rank <= 30""")
+ h AS (SELECT *, first_value(text) OVER (PARTITION BY book_id, normalized ORDER BY seen) AS t2 FROM g),
+ cand AS (SELECT * FROM (SELECT book_id, area, t2 AS text, normalized, repeats, row_number() OVER (PARTITION BY book_id ORDER BY area DESC, repeats DESC, seen)::INT AS rank FROM h WHERE repeats >= 3) WHERE rank <= 30)"""
+
+
+@query("header_footer_candidates", f"{L}, {CANDIDATES_SQL} SELECT * FROM cand")
 def header_footer_candidates(spark, sf_dir):
     return D.header_footer_candidates(blocks_of(spark, sf_dir))
 
@@ -420,11 +423,15 @@ def profiled(spark, sf_dir, name="technical") -> DataFrame:
 WORDS = n_words("tx")
 BARE = strip(rx(strip(rx(strip("tx"), f"^[{WS}\\-–—.•◦]*|[{WS}\\-–—.•◦]*$")), f"(?i)^(стр\\.?|page|p\\.?|с\\.?)[{WS}]*", "", ""))
 HEADING = f"(length(tx) <= 180 AND {WORDS} <= 18 AND size >= greatest(m * 1.25, m + 1.5) AND NOT (ends_with(tx, '.') AND {WORDS} > 7))"
+MONO_SQL = "(CASE WHEN font = 'Courier Mono' THEN 1.0 ELSE 0.0 END)"
 KIND_SQL = f"""CASE WHEN length(tx) = 0 THEN 'unknown' WHEN known AND (y1 <= height * 0.12 OR y0 >= height * 0.88) AND y0 < height * 0.5 THEN 'header' WHEN known AND (y1 <= height * 0.12 OR y0 >= height * 0.88) THEN 'footer'
    WHEN {has(BARE, '^[0-9]{1,4}$')} AND (y1 <= height * 0.10 OR y0 >= height * 0.90) THEN 'footer' WHEN {starts(strip('lower(tx)'), P.CAPTIONS)} THEN 'caption'
-   WHEN {code('[tx]', "(CASE WHEN font = 'Courier Mono' THEN 1.0 ELSE 0.0 END)")} THEN 'code' WHEN {HEADING} THEN 'heading' ELSE 'paragraph' END"""
+   WHEN {code('[tx]', MONO_SQL)} THEN 'code' WHEN {HEADING} THEN 'heading' ELSE 'paragraph' END"""
+#: In the profile for novels nothing is code.
+NOVEL_KIND_SQL = f"""{KIND_SQL.split("   WHEN " + code("[tx]", MONO_SQL))[0]}   WHEN {HEADING} THEN 'heading' ELSE 'paragraph' END"""
 LEVEL_SQL = f"CASE WHEN {has(strip('tx'), f'(?i)^(chapter|part|глава|часть)[{WS}]+[0-9]+')} THEN 1 WHEN {has(strip('tx'), f'^[0-9]+[.][0-9]+([.][0-9]+)?[{WS}]+')} THEN 2 WHEN size >= m * 1.8 THEN 1 WHEN size >= m * 1.45 THEN 2 ELSE 3 END"
 CLASSIFIED = f"{L}{BLOCK_SQL}, j AS (SELECT b.*, s.m, g.normalized IS NOT NULL AS known FROM blocks b JOIN sized s USING (book_id) LEFT JOIN marg g ON b.book_id = g.book_id AND {repetition('b.tx')} = g.normalized), k AS (SELECT *, {KIND_SQL} AS kind FROM j)"
+NOVEL = CLASSIFIED.replace(KIND_SQL, NOVEL_KIND_SQL)
 
 
 @query("classify_blocks", f"{CLASSIFIED} SELECT book_id, page_number, block_no, kind, CASE WHEN kind = 'heading' THEN {LEVEL_SQL} ELSE 0 END AS level FROM k")
@@ -518,17 +525,23 @@ def page_ranges(spark, sf_dir):
 # Models, images, cache ----------------------------------------------------------------------
 
 NAMES = "[" + ", ".join(q(x) for x in ml.LABELS) + "]"
-GROUPS_SQL = f"""{L}, {PREDICTIONS_SQL},
+GROUPS_SQL = f"""{PREDICTIONS_SQL},
  f AS (SELECT *, CASE WHEN lag(label) OVER w IS NULL OR label <> lag(label) OVER w OR NOT (abs(x0 - lag(x1) OVER w) < 50 AND y0 <= lag(y1) OVER w AND y1 >= lag(y0) OVER w) THEN 1 ELSE 0 END AS new FROM predictions WINDOW w AS (PARTITION BY book_id, page_number ORDER BY word_no)),
  i AS (SELECT *, sum(new) OVER (PARTITION BY book_id, page_number ORDER BY word_no ROWS UNBOUNDED PRECEDING)::BIGINT AS ml_no FROM f),
- grp AS (SELECT book_id, page_number, ml_no, label, string_agg(word, ' ' ORDER BY word_no) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, avg(confidence) AS confidence, count(*)::BIGINT AS n_words FROM i GROUP BY ALL HAVING avg(confidence) >= 0.7)"""
+ grp AS (SELECT book_id, page_number, ml_no, label, string_agg(word, ' ' ORDER BY word_no) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum(confidence::DECIMAL(20, 6))::DOUBLE / count(*) AS confidence, count(*)::BIGINT AS n_words FROM i GROUP BY ALL HAVING sum(confidence::DECIMAL(20, 6)) >= 0.7::DECIMAL(2, 1) * count(*))"""
 
 
-@query("ml_word_groups", f"{GROUPS_SQL} SELECT book_id, page_number, ml_no, {NAMES}[label + 1] AS label, text, x0, y0, x1, y1, round(confidence, 6) AS confidence, n_words FROM grp")
+@query("ml_word_groups", f"{L}, {GROUPS_SQL} SELECT book_id, page_number, ml_no, {NAMES}[label + 1] AS label, text, x0, y0, x1, y1, round(confidence, 6) AS confidence, n_words FROM grp")
 def ml_word_groups(spark, sf_dir):
     return ml.group_words(samples.predictions(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
 
 
+@query("doclaynet_labels", f"{L} SELECT DISTINCT book_id, page_number, block_no, CASE block_no % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'list' WHEN 2 THEN 'header' ELSE 'unlisted' END AS label FROM spans")
+def doclaynet_labels(spark, sf_dir):
+    given = F.get(F.array(*map(F.lit, ("footnote", "list-item", "page-header", "unlisted"))), F.pmod("block_no", F.lit(4)).cast("int"))
+    return ml.standard_labels(samples.layout(spark, sf_dir).select("book_id", "page_number", "block_no", given.alias("label"))).distinct()
+
+
 @query("ml_override", None)
 def ml_override(spark, sf_dir):
     return ml.override(profiled(spark, sf_dir), ml.group_words(samples.predictions(spark, sf_dir))).select("book_id", "page_number", "block_no", "kind", "overridden")
@@ -616,12 +629,13 @@ def validate_epub(spark, sf_dir):
 
 # Preflight ----------------------------------------------------------------------------------
 
-PREFLIGHT_SQL = f"""{L}{PAGES_SQL}, c AS (SELECT book_id, max(page_number) AS n FROM pages_ GROUP BY 1),
+MARKED_SQL = f"""{L}{PAGES_SQL}, c AS (SELECT book_id, max(page_number) AS n FROM pages_ GROUP BY 1),
  w AS (SELECT DISTINCT book_id, n, CASE WHEN n <= 20 THEN i ELSE i * n // 20 END + 1 AS page_number FROM (SELECT book_id, n, unnest(range(least(n, 20))) AS i FROM c)),
  st AS (SELECT book_id, any_value(n) AS page_count, count(*)::BIGINT AS sampled_pages, sum(length({TRIM}))::DOUBLE / count(*) AS average FROM pages_ JOIN w USING (book_id, page_number) GROUP BY 1),
  pg AS (SELECT book_id, page_number, lower({spaces('text')}) AS low, text FROM pages_ WHERE page_number <= 40),
  mk AS (SELECT book_id, page_number, ({hits('low', P.TOC_TITLES)} > 0 OR {hits('low', [*P.TOC_TITLES, *P.TOC_CHAPTERS])} >= 4 OR {has('low', r'\.{5,}')}) OR {has('text', r'\.{5,}')} AS toc,
-   ({hits('low', P.CODE_MARKERS)} >= 2 OR {has('low', f'(^|[^{WORD}])git[{WS}]+[a-z0-9_.-]+')} OR {has('low', f'(^|[^{WORD}])commit[{WS}]+[0-9a-f]{{7,40}}([^{WORD}]|$)')}) AS code FROM pg),
+   ({hits('low', P.CODE_MARKERS)} >= 2 OR {has('low', f'(^|[^{WORD}])git[{WS}]+[a-z0-9_.-]+')} OR {has('low', f'(^|[^{WORD}])commit[{WS}]+[0-9a-f]{{7,40}}([^{WORD}]|$)')}) AS code FROM pg)"""
+PREFLIGHT_SQL = f"""{MARKED_SQL},
  ag AS (SELECT book_id, count(*) FILTER (toc)::INT AS n_toc, count(*) FILTER (code)::INT AS n_code FROM mk GROUP BY 1)
  SELECT book_id, page_count, sampled_pages, round(average, 6) AS average, average < 25 AS looks_scanned, n_toc, n_code, CASE WHEN average < 25 THEN 'hybrid' ELSE 'technical' END AS recommended_profile, CASE WHEN average < 25 THEN 'auto' ELSE 'off' END AS recommended_ocr_mode FROM st JOIN ag USING (book_id)"""
 
@@ -647,4 +661,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from . import oracles
+
+    return ORACLES | oracles.oracles()
