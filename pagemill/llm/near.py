@@ -4,11 +4,12 @@ Candidates come from bands of MinHash values of a text's shingles; each is then
 sets of both texts, so no pair is linked that is less similar. A pair of similarity 0.8 shares no band,
 and so is missed, with a chance of (1 - 0.8 ** ROWS) ** BANDS = 0.0002, a more similar one less often.
 
-Texts with one and the same set are one member. A band that FULL members at most share compares all of
-them. A larger one is compared in two rounds: first in buckets of about BUCKET members, dealt by hash anew
-in each band; then, of what that has joined into components, each member outside the band's largest
-component with all members of other components. So every pair of a band is compared or joined already,
-and work grows with the square of a group's size only as far as its members are not similar.
+Texts with one and the same set are one member. A band's members are compared in two rounds: first each with the
+band's leader, the member whose bands have most members in all, as the text has that a group's copies were made of; then, of what
+that has joined into components, each member outside the band's largest component with all members of other components.
+So every pair of a band is compared or joined already: a group of copies takes as many comparisons as it has members, and
+only members that are not similar are compared with all others. The second round's pairs are no rows: a band's members
+are cut into blocks, each pair of blocks is compared in one task, and only links that join components come out.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, saved
+from .common import arrow_schema, rows_of, saved
 from .windows import M1, R_UNIT, Units, mixed, powers
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
-FULL, BUCKET = 32, 16
+#: Members of a band in a block of the second round.
+BUCKET = 1024
 #: Odd factors, one a MinHash value.
 FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * M1) | np.uint64(1)
 MEMBER = "digest long, bands array<long>, shingles binary"
@@ -94,25 +96,83 @@ def joined(members: DataFrame, linked: DataFrame, components: Callable[[DataFram
 
     keyed = one.select("digest", "fp", "n", F.explode("bands").alias("band"))
     many = keyed.groupBy("band").agg(F.count("*").alias("held")).where("held > 1")
-    buckets = F.when(F.col("held") <= FULL, F.lit(1)).otherwise(F.ceil(F.col("held") / BUCKET)).cast("int")
-    dealt = saved(keyed.join(many, "band").withColumn("buckets", buckets).withColumn("bucket", F.pmod(F.xxhash64("digest", "band"), F.col("buckets")).cast("int")), "bands")
-    lists = dealt.groupBy("band", "bucket").agg(F.sort_array(F.collect_list(F.struct("digest", "n"))).alias("m"))
-    # pairs whose sets' sizes allow the similarity
-    pairs = F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> least(x.n, y.n) >= {SIMILAR} * greatest(x.n, y.n)), y -> named_struct('x', x.digest, 'y', y.digest))))")
-    pairs = saved(lists.where(F.size("m") > 1).select(F.explode(pairs).alias("p")).select("p.x", "p.y").distinct(), "pairs")
+    shared = saved(keyed.join(many, "band"), "shared-bands")
+    # copies differ from each other more than from what they were made of, which has the bands that most of them have
+    scores = shared.groupBy("digest").agg(F.sum("held").alias("score"))
+    lead = shared.join(scores, "digest").groupBy("band").agg(F.max(F.struct("score", "digest", "n")).alias("lead"))
+    buckets = F.ceil(F.col("held") / BUCKET).cast("int")
+    dealt = saved(shared.join(lead, "band").withColumn("buckets", buckets).withColumn("bucket", F.pmod(F.xxhash64("digest", "band"), F.col("buckets")).cast("int")).drop("held"), "bands")
+    # only sets whose sizes allow the similarity
+    alike = f"least(n, {{0}}) >= {SIMILAR} * greatest(n, {{0}})"
+    pairs = saved(dealt.where("digest <> lead.digest").where(alike.format("lead.n")).select(F.col("lead.digest").alias("x"), F.col("digest").alias("y")).distinct(), "pairs")
     found = components(linked.unionByName(same).unionByName(checked(pairs, members)))
 
-    large = dealt.where("buckets > 1")
+    rooted = dealt.join(found, dealt["fp"] == found["node"], "left").select("band", "digest", "fp", "buckets", "bucket", F.coalesce("root", "fp").alias("root"))
+    sizes = rooted.groupBy("band", "root").agg(F.count("*").alias("k"))
+    most = sizes.groupBy("band").agg(F.count("*").alias("roots"), F.max(F.struct("k", "root"))["root"].alias("most")).where("roots > 1").drop("roots")
+    large = saved(rooted.join(most, "band"), "parted-bands")
     if large.isEmpty():
         return found
-    large = large.join(found, large["fp"] == found["node"], "left").select("band", "digest", "n", "buckets", "bucket", F.coalesce("root", "fp").alias("root"))
-    large = saved(large, "large-bands")
-    sizes = large.groupBy("band", "root").agg(F.count("*").alias("k"))
-    most = sizes.groupBy("band").agg(F.max(F.struct("k", "root"))["root"].alias("most"))
-    # those outside meet every bucket of the band
-    outside = large.join(most, "band").where("root <> most").select("band", F.col("digest").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"))
-    cross = large.join(outside, ["band", "bucket"]).where(f"root <> rx AND least(n, nx) >= {SIMILAR} * greatest(n, nx)")
-    cross = saved(cross.select(F.least("digest", "x").alias("x"), F.greatest("digest", "x").alias("y")).distinct(), "pairs")
+    sets = members.join(large.select(F.col("digest").alias("_wanted")).distinct(), F.col("digest") == F.col("_wanted"), "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    # block i meets every block j: part (i, j) has i <= j, the members of j as visitors
+    parts = F.transform(F.sequence(F.lit(0), F.col("buckets") - 1), lambda j: F.struct((F.least("bucket", j) * F.col("buckets") + F.greatest("bucket", j)).alias("part"), (F.col("bucket") > j).alias("visitor")))
+    dealt = large.join(sets, "digest").withColumn("p", F.explode(parts)).select("band", F.col("p.part").cast("long").alias("part"), F.col("p.visitor").alias("visitor"), (F.col("root") != F.col("most")).alias("outside"), "root", "fp", "shingles")
+    dealt = dealt.repartition("band", "part").sortWithinPartitions("band", "part", "visitor")
+    cross = saved(dealt.mapInArrow(met, "a long, b long").distinct(), "pairs")
     if cross.isEmpty():
         return found
-    return components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(checked(cross, members)))
+    return components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(cross))
+
+
+def met(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, part, visitor, outside, root, fp, shingles) in order of band and part to links (a, b) of fp; a part at a time."""
+    schema, held, now = arrow_schema("a long, b long"), [], None
+
+    def out():
+        made = list(joins(*zip(*held)))
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], schema=schema)
+
+    for batch in found:
+        for band, part, *row in rows_of(batch):
+            if now != (band, part):
+                if held:
+                    yield from out()
+                held, now = [], (band, part)
+            held.append(row)
+    if held:
+        yield from out()
+
+
+def joins(visitor: tuple, outside: tuple, root: tuple, fp: tuple, shingle: tuple) -> Iterator[tuple[int, int]]:
+    """Links between similar members of a part's two blocks (of one block, where it has no visitors) that join components."""
+    sets = [np.frombuffer(x, np.uint32) for x in shingle]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    every = np.concatenate(sets) if size.sum() else np.zeros(0, np.uint32)
+    order = np.argsort(every, kind="stable")
+    number = np.empty(len(every), np.int64)  # of each shingle of each member
+    number[order] = np.cumsum(np.concatenate(([0], every[order][1:] != every[order][:-1]))) if len(every) else 0
+    edge = np.concatenate(([0], np.cumsum(size)))
+    guest = np.array(visitor, bool)
+    across = guest.any() and not guest.all()
+    label = np.unique(np.array(root, np.int64), return_inverse=True)[1]
+    table = np.zeros(int(number.max(initial=-1)) + 1, bool)
+    total = np.zeros(len(every) + 1, np.int64)
+    for k in np.flatnonzero(np.array(outside, bool)).tolist():
+        other = (label != label[k]) & (np.minimum(size, size[k]) >= SIMILAR * np.maximum(size, size[k]))
+        if across:
+            other &= guest != guest[k]
+        elif guest.any():
+            continue
+        if not other.any():
+            continue
+        mine = number[edge[k] : edge[k + 1]]
+        table[mine] = True
+        np.cumsum(table[number], out=total[1:])
+        table[mine] = False
+        both = total[edge[1:]] - total[edge[:-1]]
+        near = np.flatnonzero(other & (both >= SIMILAR * (size + size[k] - both)))
+        for j in near.tolist():
+            if label[j] != label[k]:
+                yield fp[k], fp[j]
+                label[label == label[j]] = label[k]
