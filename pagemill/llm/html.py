@@ -96,6 +96,7 @@ class Block:
     label: str = ""
     #: The page names no article.
     assumed: bool = False
+    stops: tuple[int, int] | None = None
 
 
 def blocks(source: str) -> list[Block]:
@@ -186,10 +187,12 @@ def blocks(source: str) -> list[Block]:
     return out
 
 
-def stop_share(text: str) -> tuple[int, int]:
-    """Stop words and words of a text."""
-    words = LETTERS.findall(text.lower())
-    return sum(w in STOP for w in words), len(words)
+def stop_share(b: Block) -> tuple[int, int]:
+    """Stop words and words of a block, counted once."""
+    if b.stops is None:
+        words = LETTERS.findall(b.text.lower())
+        b.stops = sum(map(STOP.__contains__, words)), len(words)
+    return b.stops
 
 
 def first_pass(b: Block, known: bool) -> str:
@@ -202,7 +205,7 @@ def first_pass(b: Block, known: bool) -> str:
         return ""
     if not known:
         return "good"
-    n, m = stop_share(b.text)
+    n, m = stop_share(b)
     density = n / m if m else 0.0
     if density >= TEXT or b.article and density >= MAYBE:
         return "good"
@@ -245,7 +248,7 @@ def labelled(source: str | None) -> list[Block]:
     if not any(b.article for b in found):
         for b in found:
             b.article = b.assumed = not b.outside
-    n, m = map(sum, zip(*(stop_share(b.text) for b in found if not b.outside))) if any(not b.outside for b in found) else (0, 0)
+    n, m = map(sum, zip(*(stop_share(b) for b in found if not b.outside))) if any(not b.outside for b in found) else (0, 0)
     for b in found:
         b.label = first_pass(b, n >= KNOWN * m and n > 0)
     second_pass(found)

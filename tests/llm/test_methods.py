@@ -237,7 +237,7 @@ def test_second_pass_by_all_pairs():
         page = f"<nav>menu</nav><article>{inner}</article>{''.join(RND.choice(kinds, 3))}<footer>f</footer>" if RND.random() < 0.6 else inner
         found = html.labelled(page)
         outside = [b for b in found if not b.outside]
-        n, m = map(sum, zip(*(html.stop_share(b.text) for b in outside))) if outside else (0, 0)
+        n, m = map(sum, zip(*(html.stop_share(b) for b in outside))) if outside else (0, 0)
         first = [html.first_pass(b, n >= html.KNOWN * m and n > 0) for b in found]
         assert [b.label for b in found] == nearest(found, first)
 
