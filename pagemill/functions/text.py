@@ -155,14 +155,19 @@ def full_repair(c: Column) -> Column:
 GOOD = r"\p{L}\p{Nd} .,;:!?\-–—()\[\]{}\"'«»\n\t"
 
 
-def share(c: Column, pattern: str, total: Column) -> Column:
-    return F.coalesce(F.try_divide(F.regexp_count(c, F.lit(pattern)).cast("double"), total.cast("double")), F.lit(0.0))
+def count_of(c: Column, chars: str) -> Column:
+    """Characters of a class in c: by what is left without them, which makes no list of them."""
+    return F.length(c) - F.length(sub(c, f"{chars}+"))
+
+
+def share(c: Column, chars: str, total: Column) -> Column:
+    return F.coalesce(F.try_divide(count_of(c, chars).cast("double"), total.cast("double")), F.lit(0.0))
 
 
 def average_word(c: Column) -> Column:
     """Characters that are not white space over words; 0 without words."""
     n = F.regexp_count(c, F.lit(f"[^{WS}]+"))
-    return F.coalesce(F.try_divide(F.regexp_count(c, F.lit(f"[^{WS}]")).cast("double"), n.cast("double")), F.lit(0.0))
+    return F.coalesce(F.try_divide(count_of(c, f"[^{WS}]").cast("double"), n.cast("double")), F.lit(0.0))
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
@@ -171,10 +176,13 @@ def clamp(c: Column, low: float, high: float) -> Column:
 
 def text_quality(c: Column) -> Column:
     """0 (rubbish) to 0.8: good characters, length of words, less rubbish characters."""
-    s = strip(c)
-    n = F.length(s)
-    score = share(s, f"[{GOOD}]", n) * 0.5 + F.least(F.lit(1.0), average_word(s) / 4.0) * 0.3 - share(s, r"[\p{Co}\p{Cn}\p{Cf}[\p{Cc}&&[^\n\r\t]]]", n) * 0.5
-    return F.when(F.coalesce(n, F.lit(0)) < 5, F.lit(0.0)).otherwise(clamp(score, 0.0, 1.0))
+
+    def score(s: Column) -> Column:
+        n = F.length(s)
+        found = share(s, f"[{GOOD}]", n) * 0.5 + F.least(F.lit(1.0), average_word(s) / 4.0) * 0.3 - share(s, r"[\p{Co}\p{Cn}\p{Cf}[\p{Cc}&&[^\n\r\t]]]", n) * 0.5
+        return F.when(F.coalesce(n, F.lit(0)) < 5, F.lit(0.0)).otherwise(clamp(found, 0.0, 1.0))
+
+    return let(strip(c), score)
 
 
 def repair_paragraphs(c: Column, level: str = "Medium") -> Column:
