@@ -94,6 +94,16 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, what: str, key: str, buckets: int) -> DataFrame:
+    """df written to the shared folder as a table bucketed by key and read back: joins on the key find its rows in place."""
+    spark, name = df.sparkSession, f"pagemill_{what}_{uuid.uuid4().hex}"
+    with narrow_batches(spark):
+        df.write.format("parquet").option("compression", "zstd").option("path", fresh_dir(spark, what)).bucketBy(buckets, key).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, and the plan knows them and their buckets
+    return found
+
+
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
     "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),

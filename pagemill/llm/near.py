@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, rows_of, saved
+from .common import arrow_schema, bucketed, rows_of, saved
 from .windows import M1, R_UNIT, Units, mixed, powers
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -71,11 +71,10 @@ def similar(a: bytes, b: bytes) -> bool:
     return both >= SIMILAR * (len(x) + len(y) - both)
 
 
-def checked(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def checked(pairs: DataFrame, one: DataFrame) -> DataFrame:
     """a, b: values of fp of those pairs (x, y: digests) whose sets are similar; only their sets are moved."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("_wanted")).distinct()
-    one = members.join(wanted, members["digest"] == wanted["_wanted"], "left_semi").groupBy("digest").agg(F.min("fp").alias("fp"), F.first("shingles").alias("shingles"))
-    one = saved(one, "shingles")
+    one = saved(one.join(wanted, one["digest"] == wanted["_wanted"], "left_semi").select("digest", "fp", "shingles"), "shingles")
     left = one.select(F.col("digest").alias("x"), F.col("fp").alias("a"), F.col("shingles").alias("sa"))
     right = one.select(F.col("digest").alias("y"), F.col("fp").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "x").join(right, "y").where("a <> b").select("a", "b", "sa", "sb")
@@ -89,9 +88,14 @@ def checked(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def joined(members: DataFrame, linked: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node, root: components() of the links (a, b) of fp and of members (fp and MEMBER) with one set or similar sets."""
-    one = saved(members.groupBy("digest").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.max(F.octet_length("shingles") / 4).cast("long").alias("n")), "members")
+def joined(members: DataFrame, linked: DataFrame, components: Callable[[DataFrame], DataFrame], buckets: int) -> DataFrame:
+    """node, root: components() of the links (a, b) of fp and of members (fp and MEMBER) with one set or similar sets.
+
+    A digest's bands and shingles may be null in all rows but one. Sets are dealt out once, to a table of so many
+    buckets by digest, and looked up there in place."""
+    dealt = members.where("shingles IS NOT NULL").repartition(buckets, "digest")
+    once = dealt.groupBy("digest").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
+    one = bucketed(once.withColumn("n", (F.octet_length("shingles") / 4).cast("long")), "members", "digest", buckets)
     same = members.select("digest", "fp").join(one.select("digest", F.col("fp").alias("least")), "digest").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
 
     keyed = one.select("digest", "fp", "n", F.explode("bands").alias("band"))
@@ -105,7 +109,7 @@ def joined(members: DataFrame, linked: DataFrame, components: Callable[[DataFram
     # only sets whose sizes allow the similarity
     alike = f"least(n, {{0}}) >= {SIMILAR} * greatest(n, {{0}})"
     pairs = saved(dealt.where("digest <> lead.digest").where(alike.format("lead.n")).select(F.col("lead.digest").alias("x"), F.col("digest").alias("y")).distinct(), "pairs")
-    found = components(linked.unionByName(same).unionByName(checked(pairs, members)))
+    found = components(linked.unionByName(same).unionByName(checked(pairs, one)))
 
     rooted = dealt.join(found, dealt["fp"] == found["node"], "left").select("band", "digest", "fp", "buckets", "bucket", F.coalesce("root", "fp").alias("root"))
     sizes = rooted.groupBy("band", "root").agg(F.count("*").alias("k"))
@@ -113,7 +117,7 @@ def joined(members: DataFrame, linked: DataFrame, components: Callable[[DataFram
     large = saved(rooted.join(most, "band"), "parted-bands")
     if large.isEmpty():
         return found
-    sets = members.join(large.select(F.col("digest").alias("_wanted")).distinct(), F.col("digest") == F.col("_wanted"), "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    sets = one.select("digest", "shingles").join(large.select(F.col("digest").alias("_wanted")).distinct(), F.col("digest") == F.col("_wanted"), "left_semi")
     # block i meets every block j: part (i, j) has i <= j, the members of j as visitors
     parts = F.transform(F.sequence(F.lit(0), F.col("buckets") - 1), lambda j: F.struct((F.least("bucket", j) * F.col("buckets") + F.greatest("bucket", j)).alias("part"), (F.col("bucket") > j).alias("visitor")))
     dealt = large.join(sets, "digest").withColumn("p", F.explode(parts)).select("band", F.col("p.part").cast("long").alias("part"), F.col("p.visitor").alias("visitor"), (F.col("root") != F.col("most")).alias("outside"), "root", "fp", "shingles")

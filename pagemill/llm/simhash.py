@@ -26,6 +26,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from . import near
 from .common import arrow_schema, by_row, pick, saved
+from .windows import Layout
 
 RADIUS = 2
 SHINGLE = 3
@@ -269,15 +270,20 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     schema = StructType([*keyed.schema.fields, *(StructField(f"_{n}", t) for n, t in (("fp", LongType()), ("digest", LongType()), ("bands", ArrayType(LongType())), ("shingles", BinaryType())))])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [f.type for f in arrow_schema(own)]
+        kinds, known = [f.type for f in arrow_schema(own)], set()
         for batch in found:
-            rows = [(signed(fingerprint(x)), *near.member(x)) for x in batch.column(at).to_pylist()]
+            rows = []
+            for x in batch.column(at).to_pylist():
+                # a task keeps a set once, so that copies do not meet in one place
+                digest, *rest = near.member(x)
+                rows.append((signed(fingerprint(x)), digest, *(rest if digest not in known else (None, None))))
+                known.add(digest)
             made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *(x.split()[0] for x in own.split(", "))])
 
     marked = saved(keyed.mapInArrow(run, schema), "marked")
     members = marked.select(F.col("_fp").alias("fp"), F.col("_digest").alias("digest"), F.col("_bands").alias("bands"), F.col("_shingles").alias("shingles"))
-    found = near.joined(members, links(members.select("fp").distinct(), radius), components)
+    found = near.joined(members, links(members.select("fp").distinct(), radius), components, Layout(marked).buckets)
     # the first row of each fingerprint, then of each component
     doc_id = F.col("doc_id") if "doc_id" in columns else F.lit(None).cast("long")
     best = marked.groupBy("_fp").agg(F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("_row").alias("row"))).alias("best"))

@@ -23,7 +23,6 @@ contents of a shard with equal hashes are told apart by their bytes.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, fresh_dir, narrow_batches, pick, rows_of
+from .common import arrow_schema, bucketed, pick, rows_of
 
 #: Bytes of text in a shard, windows looked at together, bytes of input a hash range and a bucket.
 SHARD, BLOCK, RANGE, BUCKET = 1 << 20, 1 << 14, 2 << 20, 16 << 20
@@ -198,8 +197,6 @@ class Homes:
 
 def pack(docs: DataFrame, layout: Layout, words: bool, batch: int, homes: Homes) -> DataFrame:
     """A table of shards in the shared folder, bucketed by home. Words: texts become their words with single spaces."""
-    spark = docs.sparkSession
-
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         schema, k, base = arrow_schema(SHARDS), 0, batch << 56 | part << 24
@@ -226,13 +223,8 @@ def pack(docs: DataFrame, layout: Layout, words: bool, batch: int, homes: Homes)
         if ids:
             yield made()
 
-    name = f"pagemill_shards_{uuid.uuid4().hex}"
     packed = pick(docs, doc_id="long", text="string").mapInArrow(run, SHARDS)
-    with narrow_batches(spark):
-        packed.write.format("parquet").option("compression", "zstd").option("path", fresh_dir(spark, "shards")).bucketBy(layout.buckets, "home").saveAsTable(name)
-    table = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # its files stay, and the plan knows them and their buckets
-    return table
+    return bucketed(packed, "shards", "home", layout.buckets)
 
 
 def ranged(h: np.ndarray, bits: int) -> np.ndarray:
