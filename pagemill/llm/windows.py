@@ -197,6 +197,7 @@ class Homes:
 
 def pack(docs: DataFrame, layout: Layout, words: bool, batch: int, homes: Homes) -> DataFrame:
     """A table of shards in the shared folder, bucketed by home. Words: texts become their words with single spaces."""
+
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         schema, k, base = arrow_schema(SHARDS), 0, batch << 56 | part << 24
