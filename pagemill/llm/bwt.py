@@ -167,17 +167,17 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(SPANS)
         for batch in found:
-            for ids, ends, body, p0, b0, p1, b1 in rows_of(batch):
+            for ids, ends, body, found_twice, decided in rows_of(batch):
                 gone = np.zeros(len(body), bool)
-                if p0:
-                    c = contents(*runs_of(ends, body), p0, b0)
+                if found_twice:
+                    c = contents(*runs_of(ends, body), *windows.opened(found_twice))
                     doc = np.array([windows.NO_ID if x is None else x for x in ids], np.int64)[c.doc]
                     # a content that a smaller document of this shard has too is found there as a whole
                     whole = doc > owners(c, ids)[c.which]
-                    gone = windows.covered(len(body), windows.flagged(c.first, c.count, np.where(whole, ~np.uint64(0), c.masked(p1, b1)[c.which])), window)
+                    gone = windows.covered(len(body), windows.flagged(c.first, c.count, np.where(whole, ~np.uint64(0), c.masked(*windows.opened(decided))[c.which])), window)
                 yield spans(schema, ids, np.frombuffer(ends, np.int64), body, gone)
 
-    answered = s.with_answers(hit, masks).select("ids", "ends", "body", "parts0", "blobs0", "parts1", "blobs1")
+    answered = s.with_answers(hit, masks).select("ids", "ends", "body", "answers0", "answers1")
     return saved(answered.mapInArrow(run, SPANS), "spans")
 
 

@@ -201,14 +201,14 @@ def applied(s: windows.Shards, found: list[tuple[DataFrame, DataFrame]], with_te
             for ids, ends, body, *answers in rows_of(batch):
                 units, marks = runs_of(ends, body)
                 gone = np.zeros(len(units), bool)
-                for p0, b0, p1, b1 in (answers[4 * k : 4 * k + 4] for k in range(n)):
-                    if p1:
-                        c = contents(units, marks, p0, b0)
-                        gone |= windows.covered(len(units), windows.flagged(c.first, c.count, c.masked(p1, b1)[c.which]), window)
+                for hit, verified in (answers[2 * k : 2 * k + 2] for k in range(n)):
+                    if verified:
+                        c = contents(units, marks, *windows.opened(hit))
+                        gone |= windows.covered(len(units), windows.flagged(c.first, c.count, c.masked(*windows.opened(verified))[c.which]), window)
                 rows = documents(units, ids, gone, with_text)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), kind)], schema=kind)
 
-    columns = [f"{c}{k}" for k in range(2 * n) for c in ("parts", "blobs")]
+    columns = [f"answers{k}" for k in range(2 * n)]
     return s.with_answers(*(x for pair in found for x in pair)).select("ids", "ends", "body", *columns).mapInArrow(run, schema)
 
 

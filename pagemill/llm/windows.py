@@ -329,10 +329,10 @@ class Shards:
         def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             schema = arrow_schema(BROUGHT)
             for batch in found:
-                for shard, ids, ends, body, parts, blobs in rows_of(batch):
-                    if not parts:
+                for shard, ids, ends, body, answers in rows_of(batch):
+                    if not answers:
                         continue
-                    c = contents(*runs_of(ends, body), parts, blobs)
+                    c = contents(*runs_of(ends, body), *opened(answers))
                     more = extra(c, ids)
                     rows = []
                     for p, k, m in c.ranges():
@@ -341,20 +341,58 @@ class Shards:
                     for k in range(0, len(rows), 1024):
                         yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(zip(*rows[k : k + 1024]), schema)], schema=schema)
 
-        return self.with_answers(answers).select("shard", "ids", "ends", "body", "parts0", "blobs0").mapInArrow(run, BROUGHT)
+        return self.with_answers(answers).select("shard", "ids", "ends", "body", "answers0").mapInArrow(run, BROUGHT)
 
     def with_answers(self, *answers: DataFrame) -> DataFrame:
-        """Each shard's row with its answers (ANSWERS): parts and blobs in lists, numbered by their place."""
+        """Each shard's row with its answers (ANSWERS) of each kind, packed, numbered by their place.
+
+        A shard has an answer of almost every range, so a home's answers grow with the number of ranges: they are sorted
+        where Spark may spill and packed shard by shard, and no row has those of other shards. The shard is compared by
+        a difference, as a second key of the join would deal the texts out anew.
+        """
         out = self.table
         for k, a in enumerate(answers):
-            dealt = a.repartition(self.layout.buckets, "home")
-            out = out.join(dealt.groupBy("home").agg(F.collect_list(F.struct("shard", "part", "blob")).alias(f"all{k}")), "home", "left")
-        for k in range(len(answers)):
-            out = out.withColumn(f"all{k}", F.filter(f"all{k}", lambda x: x["shard"] == F.col("shard")))
-            out = out.withColumns({f"parts{k}": F.col(f"all{k}.part"), f"blobs{k}": F.col(f"all{k}.blob")}).drop(f"all{k}")
+            dealt = a.repartition(self.layout.buckets, "home").sortWithinPartitions("home", "shard").mapInArrow(packed, PACKED)
+            dealt = dealt.toDF(f"_home{k}", f"_shard{k}", f"answers{k}")
+            out = out.join(dealt, (out["home"] == dealt[f"_home{k}"]) & (out["shard"] - dealt[f"_shard{k}"] == 0), "left").drop(f"_home{k}", f"_shard{k}")
         return out
 
 
+PACKED = "home long, shard long, answers binary"
+
+
+def packed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers (ANSWERS), of which a shard's follow each other, to one row a shard: their number, the ranges, the lengths and
+    the bits one after another."""
+    schema, now, held = arrow_schema(PACKED), None, []
+
+    def made() -> pa.RecordBatch:
+        lens = np.fromiter((len(b) for _, b in held), np.int32, len(held))
+        parts = np.fromiter((p for p, _ in held), np.int64, len(held))
+        raw = b"".join((np.int64(len(held)).tobytes(), parts.tobytes(), lens.tobytes(), *(b for _, b in held)))
+        return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((*now, raw), schema)], schema=schema)
+
+    for batch in found:
+        for home, shard, part, blob in rows_of(batch):
+            if (home, shard) != now:
+                if held:
+                    yield made()
+                now, held = (home, shard), []
+            held.append((part, blob))
+    if held:
+        yield made()
+
+
+def opened(answers: bytes | None) -> tuple[list[int], list[bytes]]:
+    """Ranges and bits of a shard's packed answers."""
+    if not answers:
+        return [], []
+    n = int(np.frombuffer(answers, np.int64, 1)[0])
+    parts, lens = np.frombuffer(answers, np.int64, n, 8), np.frombuffer(answers, np.int32, n, 8 + 8 * n)
+    ends = (np.cumsum(lens, dtype=np.int64) + 8 + 12 * n).tolist()
+    return parts.tolist(), [answers[b - m : b] for b, m in zip(ends, lens.tolist())]
+
+
 def hits(h: np.ndarray, bits: int, parts: list[int] | None, blobs: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
     """The different hashes of a shard's runs that match() found repeated, in order, and which of them are hot."""
     if not parts:

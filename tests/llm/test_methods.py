@@ -279,3 +279,22 @@ def test_decision_list_verdicts(spark):
     got = {r["doc_id"]: r for r in rules.decisions(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert all(got[i]["kept"] == bool(q) for i, q, _ in labels if not got[i]["base_failed"])
     assert not any(r["kept"] and r["base_failed"] for r in got.values())
+
+
+def test_answers_are_joined_shard_by_shard(spark, monkeypatch):
+    """A shard's row has its own answers only, packed; a home's are never one array, which grows with shards times ranges."""
+    monkeypatch.setattr(windows, "SHARD", 1 << 8)
+    docs = spark.createDataFrame([(k, f"text {k} " * 40) for k in range(60)], "doc_id long, text string").coalesce(1)
+    s = windows.Shards(docs, 50, 24, words=False, bits=10)
+    owned = {r.shard: r.home for r in s.table.select("home", "shard").collect()}
+    assert len(owned) > len(set(owned.values()))  # homes with several shards
+    rows = [(h, x, p, bytes([p % 251, x % 251])) for x, h in owned.items() if x % 3 for p in range(200)]
+    answers = spark.createDataFrame(rows, windows.ANSWERS)
+    joined = s.with_answers(answers, answers.where("part < 7"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    found = {r.shard: (windows.opened(r.answers0), windows.opened(r.answers1)) for r in joined.select("shard", "answers0", "answers1").collect()}
+    assert set(found) == set(owned)
+    for x, pairs in found.items():
+        for (parts, blobs), n in zip(pairs, (200, 7)):
+            assert dict(zip(parts, blobs)) == ({p: bytes([p % 251, x % 251]) for p in range(n)} if x % 3 else {})
