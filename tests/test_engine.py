@@ -122,3 +122,32 @@ def test_cache_key_takes_long_parts_whole(spark):
 
     keys = spark.range(2).select(cache.key({"text": F.concat(F.repeat(F.lit("x"), F.lit(1 << 20)), F.col("id").cast("string"))}).alias("k"))
     assert keys.distinct().count() == 2
+
+
+def test_kinds_are_worked_out_once_behind_a_filter(spark, sf_dir):
+    """A filter on the kind does not repeat the decision list, and no text is taken once a marker."""
+    df = entry.queries()["render_html"](spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("git show") == 1
+    assert plan.count("Join ") == 2  # sizes and marginals by book; blocks are not dealt out by text
+
+
+def test_beginnings_and_blanks(spark):
+    from pagemill.functions import predicates as P
+    from pagemill.functions import text as T
+
+    blanks = T.BLANKS
+    texts = ["", " ", "index ", "index x", " index ", " index  y", "@@ ", "@@ 1", "--- a", "  +", "x index y", "$ ls", "# a", "[x", "\x85a b　", "apt-get i", "​index x", "стр", *blanks]
+    rows = spark.createDataFrame([(x,) for x in [*texts, None]], "t string")
+    prefixes = (*P.DIFF_STARTS, *(f"{c} " for c in P.COMMANDS))
+    c = F.col("t")
+    got = rows.select(c, T.strip(c), T.rstrip(c), P.begins(c, prefixes), P.begins(c, prefixes, whole=False)).collect()
+    for t, s, r, whole, left in got:
+        if t is None:
+            assert s is None and r is None and whole is None
+            continue
+        assert (s, r) == (t.strip(blanks), t.rstrip(blanks)), repr(t)
+        assert whole == t.strip(blanks).startswith(prefixes), repr(t)
+        assert left == t.lstrip(blanks).startswith(prefixes), repr(t)
+    points = spark.createDataFrame([(chr(k),) for k in range(0x10000) if not 0xD800 <= k < 0xE000], "t string")
+    assert {r.t for r in points.where(c.rlike(f"[{T.WS}]")).collect()} == set(blanks)
