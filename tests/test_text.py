@@ -76,3 +76,21 @@ def test_formulas(spark):
     assert [f["latex"] for f in found] == ["a", "a", "and", "\\sum\\prod\\int"]
     out = spark.createDataFrame([("x $b$ y $c$",)], "t string").select(formulas.placeholders(F.col("t"), formulas.formulas(F.col("t")))).first()[0]
     assert out == "x <!-- FORMULA_1 --> y <!-- FORMULA_0 -->"
+
+
+def test_plain_lines_are_cleaned_by_no_step_and_counted_without_lists(spark):
+    """Lines in which no cleaning step finds anything skip the steps, and only those."""
+    fixed = ["", " ", "ab", "a.", "a b", " two  words ", "It is (so), isn't it?", "- four", "( a", "z six", "x z z y", "zoo", "jazz", "puzzle z", "a...b", "page 12 of it", "42", "1987", "a " * 25 + "1987", "a " * 25 + "Page  7", "стр. 9 " + "a " * 25, "x = 5 & y", "a\nb", "a\n", "a\u00a0b", "один два", "été ß", "12 a b 3", "a 'b' c", "• one"]
+    plain = {" two  words ", "a b", "It is (so), isn't it?", "zoo", "a " * 25 + "1987", "один два", "été ß"}
+    df = spark.createDataFrame([(x,) for x in [*fixed, None]], "t string")
+    c = F.col("t")
+    steps = T.clean_toc_leaders(T.clean_page_numbers(T.clean_garbage(c)))
+    steps = T.repair_paragraphs(T.clean_chart_artifacts(T.clean_side_numbers(steps)))
+    steps = T.strip(T.sub(T.sub(steps, r"\n{3,}", "\n\n"), r"[ \t]+", " "))
+    words = F.filter(F.split(c, r"(?U)\s+", -1), lambda w: F.length(w) > 0)
+    for r in df.select(c, T.is_plain(c).alias("plain"), T.clean_full(c).alias("got"), steps.alias("want"), T.matches_of(c, r"(?U)\S+").alias("n"), F.when(c.isNotNull(), F.size(words)).alias("n_words"), T.average_word(c).alias("mean")).collect():
+        assert r.got == r.want, repr(r.t)
+        assert r.n == r.n_words, repr(r.t)
+        assert bool(r.plain) == (r.t in plain), repr(r.t)
+        w = (r.t or "").split()
+        assert abs(r["mean"] - (sum(map(len, w)) / len(w) if w else 0)) < 1e-12
