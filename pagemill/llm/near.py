@@ -71,9 +71,9 @@ def similar(a: bytes, b: bytes) -> bool:
     return both >= SIMILAR * (len(x) + len(y) - both)
 
 
-def checked(pairs: DataFrame, one: DataFrame) -> DataFrame:
+def checked(pairs: DataFrame, one: DataFrame, buckets: int) -> DataFrame:
     """a, b: values of fp of those pairs (x, y: digests) whose sets are similar; only their sets are moved."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("_wanted")).distinct()
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("_wanted")).repartition(buckets, "_wanted").distinct()
     one = saved(one.join(wanted, one["digest"] == wanted["_wanted"], "left_semi").select("digest", "fp", "shingles"), "shingles")
     left = one.select(F.col("digest").alias("x"), F.col("fp").alias("a"), F.col("shingles").alias("sa"))
     right = one.select(F.col("digest").alias("y"), F.col("fp").alias("b"), F.col("shingles").alias("sb"))
@@ -92,11 +92,12 @@ def joined(members: DataFrame, linked: DataFrame, components: Callable[[DataFram
     """node, root: components() of the links (a, b) of fp and of members (fp and MEMBER) with one set or similar sets.
 
     A digest's bands and shingles may be null in all rows but one. Sets are dealt out once, to a table of so many
-    buckets by digest, and looked up there in place."""
+    buckets by digest, and looked up there in place: what is looked up is dealt out to as many parts, since otherwise, where the
+    session has more shuffle partitions than there are buckets, Spark deals out the table too."""
     dealt = members.where("shingles IS NOT NULL").repartition(buckets, "digest")
     once = dealt.groupBy("digest").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
     one = bucketed(once.withColumn("n", (F.octet_length("shingles") / 4).cast("long")), "members", "digest", buckets)
-    same = members.select("digest", "fp").join(one.select("digest", F.col("fp").alias("least")), "digest").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
+    same = members.select("digest", "fp").repartition(buckets, "digest").join(one.select("digest", F.col("fp").alias("least")), "digest").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
 
     keyed = one.select("digest", "fp", "n", F.explode("bands").alias("band"))
     many = keyed.groupBy("band").agg(F.count("*").alias("held")).where("held > 1")
@@ -104,12 +105,12 @@ def joined(members: DataFrame, linked: DataFrame, components: Callable[[DataFram
     # copies differ from each other more than from what they were made of, which has the bands that most of them have
     scores = shared.groupBy("digest").agg(F.sum("held").alias("score"))
     lead = shared.join(scores, "digest").groupBy("band").agg(F.max(F.struct("score", "digest", "n")).alias("lead"))
-    buckets = F.ceil(F.col("held") / BUCKET).cast("int")
-    dealt = saved(shared.join(lead, "band").withColumn("buckets", buckets).withColumn("bucket", F.pmod(F.xxhash64("digest", "band"), F.col("buckets")).cast("int")).drop("held"), "bands")
+    blocks = F.ceil(F.col("held") / BUCKET).cast("int")
+    dealt = saved(shared.join(lead, "band").withColumn("buckets", blocks).withColumn("bucket", F.pmod(F.xxhash64("digest", "band"), F.col("buckets")).cast("int")).drop("held"), "bands")
     # only sets whose sizes allow the similarity
     alike = f"least(n, {{0}}) >= {SIMILAR} * greatest(n, {{0}})"
     pairs = saved(dealt.where("digest <> lead.digest").where(alike.format("lead.n")).select(F.col("lead.digest").alias("x"), F.col("digest").alias("y")).distinct(), "pairs")
-    found = components(linked.unionByName(same).unionByName(checked(pairs, one)))
+    found = components(linked.unionByName(same).unionByName(checked(pairs, one, buckets)))
 
     rooted = dealt.join(found, dealt["fp"] == found["node"], "left").select("band", "digest", "fp", "buckets", "bucket", F.coalesce("root", "fp").alias("root"))
     sizes = rooted.groupBy("band", "root").agg(F.count("*").alias("k"))
@@ -117,10 +118,10 @@ def joined(members: DataFrame, linked: DataFrame, components: Callable[[DataFram
     large = saved(rooted.join(most, "band"), "parted-bands")
     if large.isEmpty():
         return found
-    sets = one.select("digest", "shingles").join(large.select(F.col("digest").alias("_wanted")).distinct(), F.col("digest") == F.col("_wanted"), "left_semi")
+    sets = one.select("digest", "shingles").join(large.select(F.col("digest").alias("_wanted")).repartition(buckets, "_wanted").distinct(), F.col("digest") == F.col("_wanted"), "left_semi")
     # block i meets every block j: part (i, j) has i <= j, the members of j as visitors
     parts = F.transform(F.sequence(F.lit(0), F.col("buckets") - 1), lambda j: F.struct((F.least("bucket", j) * F.col("buckets") + F.greatest("bucket", j)).alias("part"), (F.col("bucket") > j).alias("visitor")))
-    dealt = large.join(sets, "digest").withColumn("p", F.explode(parts)).select("band", F.col("p.part").cast("long").alias("part"), F.col("p.visitor").alias("visitor"), (F.col("root") != F.col("most")).alias("outside"), "root", "fp", "shingles")
+    dealt = large.repartition(buckets, "digest").join(sets, "digest").withColumn("p", F.explode(parts)).select("band", F.col("p.part").cast("long").alias("part"), F.col("p.visitor").alias("visitor"), (F.col("root") != F.col("most")).alias("outside"), "root", "fp", "shingles")
     dealt = dealt.repartition("band", "part").sortWithinPartitions("band", "part", "visitor")
     cross = saved(dealt.mapInArrow(met, "a long, b long").distinct(), "pairs")
     if cross.isEmpty():

@@ -298,3 +298,25 @@ def test_answers_are_joined_shard_by_shard(spark, monkeypatch):
     for x, pairs in found.items():
         for (parts, blobs), n in zip(pairs, (200, 7)):
             assert dict(zip(parts, blobs)) == ({p: bytes([p % 251, x % 251]) for p in range(n)} if x % 3 else {})
+
+
+def test_shingle_sets_stay_in_their_buckets(spark, monkeypatch):
+    """With more shuffle partitions than buckets, sets are looked up where they are, not dealt out again."""
+    from pagemill.llm import near
+    from pagemill.llm.common import bucketed
+
+    rows = [(k, k, [1], np.arange(k % 3, 9, dtype=np.uint32).tobytes()) for k in range(12)]
+    one = bucketed(spark.createDataFrame(rows, "digest long, fp long, bands array<long>, shingles binary"), "members", "digest", 4)
+    pairs = spark.createDataFrame([(0, 3), (0, 1), (0, 2)], "x long, y long")
+    plans = []
+    monkeypatch.setattr(near, "saved", lambda df, what: (plans.append(df._jdf.queryExecution().executedPlan().toString()), df)[1])
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = {(r.a, r.b) for r in near.checked(pairs, one, 4).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == {(0, 3), (0, 1)}
+    assert "Join" in plans[0] and "hashpartitioning(digest" not in plans[0]
